@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Characters removed at both ends of a text (blank, tab, line ends, no-break blanks, byte order mark).
-TRIM_CHARS = " \t\n\r\x0b\x0c      　﻿" + "".join(
+TRIM_CHARS = " \t\n\r\x0b\x0c\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(
     chr(c) for c in range(0x2000, 0x200B)
 )
 
