@@ -47,9 +47,15 @@ def fixed_text(c: Column | str, digits: int) -> Column:
     head_units = head * F.lit(scale)
     rest_units = (x - head) * F.lit(scale)
     whole = F.floor(head_units)
-    up = (head_units - whole - F.lit(0.5)) >= -rest_units
-    down = (head_units - whole + F.lit(0.5)) < -rest_units
-    units = (whole + F.when(up, 1).when(down, -1).otherwise(0)).cast("long")
+    rest_whole = F.when(rest_units < 0, F.ceil(rest_units)).otherwise(F.floor(rest_units))
+    part, rest_part = head_units - whole, rest_units - rest_whole
+    units = (
+        whole
+        + rest_whole
+        + (part - F.lit(0.5) >= -rest_part).cast("int")
+        + (part - F.lit(1.5) >= -rest_part).cast("int")
+        - (part + F.lit(0.5) < -rest_part).cast("int")
+    ).cast("long")
     sign = F.when(as_column(c) < 0, "-").otherwise("")
     if digits == 0:
         return F.concat(sign, units.cast("string"))
