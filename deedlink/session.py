@@ -28,6 +28,7 @@ def local_session(cpus: int | str = "*", app: str = "deedlink", **extra: str) ->
         **SESSION_SETTINGS,
         "spark.sql.shuffle.partitions": str(n),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
         **extra,
     }
