@@ -8,21 +8,21 @@ from deedlink.functions.presence import as_column
 
 
 def number_or_null(c: Column | str) -> Column:
-    """Digits, dot and minus of a text read as a double; null when they form no number."""
-    kept = F.regexp_replace(as_column(c).cast("string"), "[^0-9.-]", "")
-    return F.when(kept == "", F.lit(0.0)).otherwise(kept.try_cast("double"))
+    """Digits, dot and minus of a text read as a double; null when they form no number (a blank text does not)."""
+    return F.regexp_replace(as_column(c).cast("string"), "[^0-9.-]", "").try_cast("double")
 
 
 def parse_number(c: Column | str) -> Column:
-    """As ``number_or_null`` with 0 for everything unreadable."""
-    value = number_or_null(c)
-    return F.coalesce(F.when(F.abs(value) != float("inf"), value), F.lit(0.0))
+    """As ``number_or_null`` with 0 for blank, missing and everything unreadable."""
+    return F.coalesce(number_or_null(c), F.lit(0.0))
 
 
 def parse_number_strict(c: Column | str) -> Column:
-    """As ``number_or_null`` with NaN for unreadable text and 0 for blank or missing text."""
-    source = as_column(c)
-    return F.when(source.isNull(), F.lit(0.0)).otherwise(F.coalesce(number_or_null(source), F.lit(float("nan"))))
+    """As ``number_or_null`` with NaN for unreadable text and 0 for text without any digit, dot or minus."""
+    nothing = ~as_column(c).cast("string").rlike("[0-9.-]")
+    return F.when(F.coalesce(nothing, F.lit(True)), F.lit(0.0)).otherwise(
+        F.coalesce(number_or_null(c), F.lit(float("nan")))
+    )
 
 
 def round_half_up(c: Column | str) -> Column:

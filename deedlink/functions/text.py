@@ -10,7 +10,9 @@ from deedlink.functions.presence import as_column, blank_to_null, null_to_blank,
 
 def unquoted(c: Column | str) -> Column:
     """One quote dropped at each end, then trimmed."""
-    return trimmed(F.regexp_replace(null_to_blank(c), '^"|"$', ""))
+    text = null_to_blank(c)
+    # hardly any cell still has a quote, so the expression is only run where there is one
+    return trimmed(F.when(text.contains('"'), F.regexp_replace(text, '^"|"$', "")).otherwise(text))
 
 
 def squeezed(c: Column | str) -> Column:
@@ -109,11 +111,9 @@ STATUS_PENALTY = {
 
 
 def choose(key: Column, table: dict, default: Column) -> Column:
-    """A small fixed table as a CASE expression."""
-    result = None
-    for k, v in table.items():
-        result = F.when(key == k, F.lit(v)) if result is None else result.when(key == k, F.lit(v))
-    return result.otherwise(default)
+    """A small fixed table as a constant map, so that the key is computed once."""
+    constant = F.create_map(*[F.lit(part) for entry in table.items() for part in entry])
+    return F.coalesce(F.element_at(constant, key), default)
 
 
 def title_words(c: Column | str) -> Column:
@@ -124,7 +124,7 @@ def title_words(c: Column | str) -> Column:
 
 def status_text(c: Column | str) -> Column:
     up = F.upper(trimmed(null_to_blank(c)))
-    return choose(up, STATUS_NAMES, title_words(up))
+    return choose(up, STATUS_NAMES, title_words(up))  # the default is computed only where the table has nothing
 
 
 def status_rank(c: Column | str, table: dict = STATUS_RANK, default: int = 0) -> Column:

@@ -73,8 +73,9 @@ def ordered_fold(
     standing after L. What follows L has no flag, so there the first largest row wins if it is larger than that row.
     Without any flagged row, the first largest row of the whole key wins.
 
-    ``fragment`` must grow with ``order`` and stand for a bounded number of rows. Maxima of later rows are taken
-    inside a fragment by a window and between fragments from one summary row each, so no task sees a whole key.
+    ``fragment`` must grow with ``order`` and stand for a bounded number of rows. Each fragment is reduced to one row
+    first; what later fragments hold is then a window over these rows, so no task sees a whole key. Inside a fragment
+    the rows that nothing later exceeds have falling sizes, so only the first of them can pass the later fragments.
     """
     values = [c for c in df.columns if c not in keys]
     base = df.withColumns(
@@ -89,33 +90,41 @@ def ordered_fold(
     local = base.withColumns(
         {
             # a flagged row stands at or after this one, inside the fragment
-            "__open": F.coalesce(F.max("__flag").over(through), F.lit(False)),
+            "__open": F.max("__flag").over(through),
             "__all_after": F.max(size).over(upcoming),
         }
     ).withColumn("__open_after", F.max(F.when(F.col("__open"), F.col(size))).over(upcoming))
-    summary = local.groupBy(*part).agg(
+    record, here = F.struct(*values), F.col(size)
+
+    def unbeaten(after: str) -> Column:
+        return F.when(F.col("__flag") & (F.col(after).isNull() | (here >= F.col(after))), F.col(order))
+
+    fragments = local.groupBy(*part).agg(
+        F.max("__flag").alias("__has_flag"),
         F.max(size).alias("__max_all"),
-        F.max(F.when(F.col("__flag"), F.col(order))).alias("__last_flag"),
-        # the largest row up to the last flagged row of the fragment
-        F.max(F.when(F.col("__open"), F.col(size))).alias("__max_open"),
+        F.max(F.when(F.col("__open"), here)).alias("__max_open"),
+        F.min_by(record, unbeaten("__all_after")).alias("__if_flag_later"),
+        F.min_by(record, unbeaten("__open_after")).alias("__if_last_flag"),
+        F.min_by(record, F.when(~F.col("__open"), F.struct(-here, F.col(order)))).alias("__rest"),
     )
     later = Window.partitionBy(*keys).orderBy(F.col("__frag").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        summary.withColumn("__flag_later", F.max("__last_flag").over(later).isNotNull())
-        .withColumn("__counted", F.when(F.col("__flag_later"), F.col("__max_all")).otherwise(F.col("__max_open")))
+    flag_later = F.col("__flag_later")
+    fragments = (
+        fragments.withColumn("__flag_later", F.coalesce(F.max("__has_flag").over(later), F.lit(False)))
+        .withColumn("__counted", F.when(flag_later, F.col("__max_all")).otherwise(F.col("__max_open")))
         .withColumn("__carry", F.max("__counted").over(later))
-        .select(*part, "__flag_later", "__carry")
-    )
-    judged = local.join(carried, part)
-    after = F.greatest(
-        F.when(F.col("__flag_later"), F.col("__all_after")).otherwise(F.col("__open_after")), F.col("__carry")
-    )
-    stays = F.col("__flag") & (after.isNull() | (F.col(size) >= after))
-    trailing = ~(F.col("__open") | F.col("__flag_later"))
-    record = F.struct(*values)
-    folded = judged.groupBy(*keys).agg(
-        F.min_by(record, F.when(stays, F.col(order))).alias("__kept"),
-        F.min_by(record, F.when(trailing, F.struct(-F.col(size), F.col(order)))).alias("__tail"),
+        .withColumn(
+            "__stays",
+            F.when(~flag_later, F.col("__if_last_flag")).when(
+                F.col("__if_flag_later")[size] >= F.col("__carry"), F.col("__if_flag_later")
+            ),
+        )
+        .withColumn("__trails", F.when(~flag_later, F.col("__rest")))
+    )
+    trails = F.col("__trails")
+    folded = fragments.groupBy(*keys).agg(
+        F.min_by("__stays", F.when(F.col("__stays").isNotNull(), F.col("__frag"))).alias("__kept"),
+        F.min_by("__trails", F.when(trails.isNotNull(), F.struct(-trails[size], trails[order]))).alias("__tail"),
     )
     take_tail = F.col("__kept").isNull() | F.coalesce(F.col("__tail")[size] > F.col("__kept")[size], F.lit(False))
     return folded.withColumn("__r", F.when(take_tail, F.col("__tail")).otherwise(F.col("__kept"))).select(

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from deedlink.functions.address import (
     CITY_ZIP_PREFIX,
     PARCEL_FALLBACK,
-    chosen_address,
     mailing_address,
     situs_address,
     trusted_address,
+    with_chosen_address,
 )
 from deedlink.functions.dates import in_rolling_year, iso_text, us_date
 from deedlink.functions.numbers import fixed_text, number_text, parse_number, round_half_up
@@ -171,12 +171,14 @@ def county_rows(
         .join(types, "code", "left")
         .join(place, KEY, "left")
     )
-    mail_text = mailing_address("mailLine", "mailCity", "mailZip")
+    joined = joined.withColumn("mailText", mailing_address("mailLine", "mailCity", "mailZip"))
+    joined = with_chosen_address(joined, "mailLine", "mailCity", "mailZip", "mailText", "siteLine", "siteZip")
+    joined = joined.withColumn("postal", first_text("chosen.zip", zip5("mailZip")))
+    postal = F.col("postal")
     joined = joined.withColumn(
-        "chosen", chosen_address("mailLine", "mailCity", "mailZip", mail_text, "siteLine", "siteZip")
+        "trusted", trusted_address(F.col("chosen.address"), F.col("chosen.source"), postal)
     )
-    postal = first_text("chosen.zip", zip5("mailZip"))
-    trusted = trusted_address(F.col("chosen.address"), F.col("chosen.source"), postal)
+    trusted = F.col("trusted")
     fallback = F.concat(
         F.lit("Parcel "), F.col("major"), F.lit("-"), F.col("minor"),
         F.lit(f" ({CITY} property address unavailable)"),

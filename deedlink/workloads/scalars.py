@@ -171,7 +171,8 @@ def address_text():
     return F.concat(size, F.lit(" "), "p_name", F.lit(" "), street, F.lit(" "), "p_type", unit)
 
 
-CANONICAL_SQL = f"trim({sql_rewrites('upper(v)', a.ADDRESS_REWRITES)})"
+ADDRESS_RULES = [*a.ADDRESS_MARKS, *[(rf"\b{word}\b", short) for word, short in a.ADDRESS_WORDS.items()], (r"\s+", " ")]
+CANONICAL_SQL = f"trim({sql_rewrites('upper(v)', ADDRESS_RULES)})"
 
 
 @workload(f"""
@@ -285,8 +286,8 @@ def address_choice(spark, sf):
         _pick(key % 3, ["", F.concat(text, F.lit(" Site Ave 98101"))]).alias("site"),
         _pick(key % 5, ["98030", "", "98102"]).alias("site_zip"),
     )
-    c = a.chosen_address("line", "city", "zip", a.mailing_address("line", "city", "zip"), "site", "site_zip")
-    r = r.select("s_suppkey", c.alias("c"))
+    r = r.withColumn("text", a.mailing_address("line", "city", "zip"))
+    r = a.with_chosen_address(r, "line", "city", "zip", "text", "site", "site_zip", "c")
     return r.select(
         "s_suppkey",
         F.col("c.address").alias("address"),

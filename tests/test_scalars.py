@@ -149,8 +149,8 @@ def test_address_choice(spark):
         ("9 Mail St", "SEATTLE WA", "98103", "m", "no number", ""),
     ]
     df = spark.createDataFrame(rows, schema)
-    c = a.chosen_address("line", "city", "zip", "text", "site", "siteZip")
-    got = [tuple(r.c) + (r.ok,) for r in df.select(c.alias("c")).select("c", a.trusted_address(F.col("c.address"), F.col("c.source"), F.col("c.zip")).alias("ok")).collect()]
+    df = a.with_chosen_address(df, "line", "city", "zip", "text", "site", "siteZip", "c")
+    got = [tuple(r.c) + (r.ok,) for r in df.select("c", a.trusted_address(F.col("c.address"), F.col("c.source"), F.col("c.zip")).alias("ok")).collect()]
     assert got == [
         ("12 Site St, Seattle 98101", "SITUS_PROXY", "98101", True),
         ("9 Mail St, KENT WA 98030", "MAILING_STREET", "98030", False),
