@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 from deedlink.functions.presence import as_column
@@ -37,35 +40,22 @@ def parse_integer(c: Column | str) -> Column:
 def fixed_text(c: Column | str, digits: int) -> Column:
     """Fixed-point text judged on the exact binary value, ties away from zero.
 
-    ``format_string`` rounds the shortest decimal form instead (1.005 would become 1.01). Here the double is split
-    into a 26-bit head and the rest, so both products with the power of ten are exact.
+    ``format_string`` rounds the shortest decimal form (1.005 would become 1.01). ``format_number`` looks at the
+    binary value but sends exact ties to the even digit; a tie is an odd multiple of 1 / 2**(digits + 1), and a
+    nudge far below the last digit turns it upwards. Sizes below one unit of the last digit, which the formatter
+    always cuts off, are compared with the half directly.
     """
-    scale = float(10**digits)
-    x = F.abs(as_column(c).cast("double"))
-    spread = x * F.lit(134217729.0)  # 2**27 + 1
-    head = spread - (spread - x)
-    head_units = head * F.lit(scale)
-    rest_units = (x - head) * F.lit(scale)
-    whole = F.floor(head_units)
-    rest_whole = F.when(rest_units < 0, F.ceil(rest_units)).otherwise(F.floor(rest_units))
-    part, rest_part = head_units - whole, rest_units - rest_whole
-    units = (
-        whole
-        + rest_whole
-        + (part - F.lit(0.5) >= -rest_part).cast("int")
-        + (part - F.lit(1.5) >= -rest_part).cast("int")
-        - (part + F.lit(0.5) < -rest_part).cast("int")
-    ).cast("long")
-    sign = F.when(as_column(c) < 0, "-").otherwise("")
-    if digits == 0:
-        return F.concat(sign, units.cast("string"))
-    power = F.lit(10**digits)
-    return F.concat(
-        sign,
-        F.floor(units / power).cast("long").cast("string"),
-        F.lit("."),
-        F.lpad((units % power).cast("string"), digits, "0"),
-    )
+    x = as_column(c).cast("double")
+    size = F.abs(x)
+    tie = (size * F.lit(float(2 ** (digits + 1)))) % 2 == 1
+    pattern = F.lit("0." + "0" * digits if digits else "0")
+    unit, half = 10.0**-digits, 0.5 * 10.0**-digits
+    if Decimal(half) < Decimal(5).scaleb(-digits - 1):
+        half = math.nextafter(half, 1.0)  # the least double that is not below the exact half
+    small = F.when(size >= half, f"{unit:.{digits}f}").otherwise(f"{0:.{digits}f}")
+    text = F.call_function("format_number", size + F.when(tie, F.lit(1e-9)).otherwise(F.lit(0.0)), pattern)
+    text = F.when(size < unit, small).otherwise(text)
+    return F.concat(F.when(x < 0, "-").otherwise(""), text)
 
 
 def number_text(c: Column | str) -> Column:

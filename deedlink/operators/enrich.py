@@ -60,18 +60,22 @@ def outcome(list_price: Column, close: Column, original: Column) -> dict[str, Co
     }
 
 
-def listing_fields(
-    c: dict[str, Column],
-    list_price: Column,
-    close: Column,
-    method: Column,
-    lag: Column,
-    to_pending: Column,
-    to_sale: Column,
-    outcomes: bool = True,
-) -> dict[str, Column]:
+#: Columns ``with_measures`` adds and ``listing_fields`` reads.
+MEASURES = ["__list", "__close", "__wait", "__to_sale", "bid_up", "bid_up_share", "sale_to_list", "sale_to_original"]
+
+
+def with_measures(
+    df: DataFrame, list_price: Column, close: Column, original: Column, to_pending: Column, to_sale: Column
+) -> DataFrame:
+    """Prices, waits and outcome as columns of their own, in two steps, so that each is computed once per row."""
+    df = df.withColumns({"__list": list_price, "__close": close, "__wait": to_pending, "__to_sale": to_sale})
+    return df.withColumns(outcome(F.col("__list"), F.col("__close"), original))
+
+
+def listing_fields(c: dict[str, Column], method: Column, lag: Column, outcomes: bool = True) -> dict[str, Column]:
     """The enrichment columns of one listing ``c`` as text, null where there is nothing to tell."""
-    o = outcome(list_price, close, c["originalPrice"])
+    list_price, close, to_pending, to_sale = (F.col(n) for n in MEASURES[:4])
+    o = {n: F.col(n) for n in MEASURES[4:]}
     ratio = lambda value: F.when(value > 0, fixed_text(value, 4))
     nothing = F.lit(None).cast("string")
     return {
@@ -184,15 +188,15 @@ def overlay(base: DataFrame, matched: DataFrame) -> DataFrame:
     )
     list_price = F.when(c["listingPrice"] > 0, c["listingPrice"]).otherwise(parse_integer(county_list))
     sale_day = F.when(sold, c["sellingDate"]).otherwise(F.col("sale_day"))
-    fields = listing_fields(
-        c,
+    joined = with_measures(
+        joined,
         list_price,
         close,
-        F.col("method"),
-        F.col("lag"),
+        c["originalPrice"],
         day_diff(c["listingDate"], c["pendingDate"]),
         day_diff(c["pendingDate"], sale_day),
     )
+    fields = listing_fields(c, F.col("method"), F.col("lag"))
     blank = F.lit(None).cast("string")
     own = [n for n in base.columns if n not in ENRICHMENT_COLUMNS]
     return joined.select(
@@ -253,16 +257,15 @@ def listing_only_rows(
         "lat": first_text(snap["lat"], F.col("k.lat")),
         "lon": first_text(snap["lon"], F.col("k.lon")),
     }
-    fields = listing_fields(
-        c,
+    joined = with_measures(
+        joined,
         list_price,
         close,
-        F.lit(SOLD_ONLY if sold else OPEN_ONLY),
-        nothing,
+        c["originalPrice"],
         day_diff("listingDate", "pendingDate"),
-        day_diff("pendingDate", "sellingDate") if sold else nothing,
-        outcomes=sold,
+        day_diff("pendingDate", "sellingDate") if sold else F.lit(None).cast("int"),
     )
+    fields = listing_fields(c, F.lit(SOLD_ONLY if sold else OPEN_ONLY), nothing, outcomes=sold)
     return joined.select(*[v.alias(n) for n, v in row.items()], *[fields[n].alias(n) for n in ENRICHMENT_COLUMNS])
 
 

@@ -63,7 +63,8 @@ def read_lines(spark: SparkSession, directory: str) -> DataFrame:
         .text(directory)
         .select(
             "value",
-            F.col("_metadata.file_name").alias("file"),
+            # the name comes URL-encoded, a plus sign in it does not stand for a blank
+            F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
         )
         .filter(trimmed("value") != "")
@@ -174,18 +175,20 @@ def typed_listings(cells: DataFrame) -> DataFrame:
     street = ["Street Number", "Street Direction", "Street Name", "Street Suffix", "Street Post Direction"]
     listed = cells.withColumn("listingNumber", trimmed(first_text("Listing Number", "Listing Number (2)")))
     listed = listed.filter(F.coalesce(F.col("listingNumber"), F.lit("")) != "")
+    # two narrow steps instead of one wide projection: generated code stays below the limit of the compiler
+    names = ["listingDate", "pendingDate", "contractualDate", "sellingDate"]
+    sources = ["Listing Date", "Pending Date", "Contractual Date", "Selling Date"]
+    listed = listed.withColumns({n: lenient_date(c) for n, c in zip(names, sources)})
+    listed = listed.withColumns({"status": status_text("Status"), "region": region_from_name("file")})
     parsed = listed.select(
         "file",
         "rowIndex",
         "ord",
-        region_from_name("file").alias("region"),
-        status_text("Status").alias("status"),
+        "region",
+        "status",
         parcel_number("APN").alias("apn"),
         "listingNumber",
-        lenient_date("Listing Date").alias("listingDate"),
-        lenient_date("Pending Date").alias("pendingDate"),
-        lenient_date("Contractual Date").alias("contractualDate"),
-        lenient_date("Selling Date").alias("sellingDate"),
+        *names,
         parse_integer("Listing Price").alias("listingPrice"),
         parse_integer("Selling Price").alias("sellingPrice"),
         parse_integer("Original Price").alias("originalPrice"),

@@ -47,7 +47,7 @@ def test_fixed_text_against_decimal_arithmetic(spark):
     from decimal import ROUND_HALF_UP, Decimal
 
     rnd = random.Random(3)
-    values = [rnd.randrange(1, 10**7) / 10**rnd.randrange(2, 7) for _ in range(3000)] + [rnd.random() * 3 for _ in range(1000)]
+    values = [rnd.randrange(1, 10**7) / 10**rnd.randrange(2, 7) for _ in range(3000)] + [rnd.random() * 3 for _ in range(1000)] + [rnd.random() / 2000 for _ in range(500)] + [k / 32 for k in range(200)]
     cases = [(v, str(Decimal(v).quantize(Decimal("0.0001"), ROUND_HALF_UP))) for v in values]
     check(spark, lambda c: n.fixed_text(c, 4), cases, "double")
 
