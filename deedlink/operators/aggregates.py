@@ -10,9 +10,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from deedlink.functions.presence import present
 
 
-def learned_label(df: DataFrame, keys: list[str], label: str, order: Column | str, out: str | None = None) -> DataFrame:
-    """Most frequent label per key; among equal counts the label seen first."""
-    counted = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first"))
+def learned_label(
+    df: DataFrame, keys: list[str], label: str, order: Column | str, out: str | None = None, weight: str | None = None
+) -> DataFrame:
+    """Most frequent label per key; among equal counts the label seen first.
+
+    A row counts ``weight`` times when it already stands for several.
+    """
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.groupBy(*keys, label).agg(times.alias("__n"), F.min(order).alias("__first"))
     # smallest (-count, first position) is the largest count, earliest seen
     return counted.groupBy(*keys).agg(
         F.min_by(F.col(label), F.struct(-F.col("__n"), F.col("__first"))).alias(out or label)

@@ -19,7 +19,7 @@ from deedlink.functions.numbers import fixed_text, number_text, parse_number, ro
 from deedlink.functions.places import county_neighborhood
 from deedlink.functions.presence import blank_to_null, first_text, null_to_blank
 from deedlink.functions.text import looks_numeric, unquoted, zip5
-from deedlink.operators.aggregates import best_record, last_value, learned_label, ordered_fold
+from deedlink.operators.aggregates import last_value, learned_label, ordered_fold
 from deedlink.operators.enrich import PUBLIC
 from deedlink.sources.coordinates import county_points
 from deedlink.sources.files import FRAGMENT, ORDER, read_optional, read_required
@@ -107,9 +107,8 @@ def type_names(lookup: DataFrame) -> DataFrame:
     return last_value(rows.withColumn("code", numeric_code(F.col("item"))), ["code"], ["typeName"], ORDER)
 
 
-def accounts_in_scope(accounts: DataFrame, parcels: DataFrame, city: str = DISTRICT) -> DataFrame:
-    """Accounts whose parcel is known, or whose mailing city names the city."""
-    typed = accounts.select(
+def typed_accounts(accounts: DataFrame) -> DataFrame:
+    return accounts.select(
         unquoted("Major").alias("major"),
         unquoted("Minor").alias("minor"),
         unquoted("AddrLine").alias("mailLine"),
@@ -118,19 +117,42 @@ def accounts_in_scope(accounts: DataFrame, parcels: DataFrame, city: str = DISTR
         (parse_number("ApprLandVal") + parse_number("ApprImpsVal")).alias("assessed"),
         ORDER,
     )
-    joined = typed.join(parcels.withColumn("known", F.lit(True)), KEY, "left")
-    return joined.filter(F.col("known").isNotNull() | F.col("mailCity").contains(city))
 
 
-def area_labels(scoped: DataFrame) -> DataFrame:
-    """Neighborhood name learned per (area, subArea) from accounts with a mapped postal code."""
-    seen = scoped.filter("known").withColumn("label", county_neighborhood("mailZip")).filter(F.col("label").isNotNull())
-    return learned_label(seen, ["area", "subArea"], "label", ORDER)
+def area_labels(accounts: DataFrame, parcels: DataFrame) -> DataFrame:
+    """Neighborhood name learned per (area, subArea) from accounts of known parcels with a mapped postal code.
 
+    Accounts are counted per parcel and name before they meet the parcels.
+    """
+    named = accounts.withColumn("label", county_neighborhood("mailZip")).filter(F.col("label").isNotNull())
+    counted = named.groupBy(*KEY, "label").agg(F.count(F.lit(1)).alias("times"), F.min(ORDER).alias(ORDER))
+    placed = counted.join(parcels.select(*KEY, "area", "subArea"), KEY)
+    return learned_label(placed, ["area", "subArea"], "label", ORDER, weight="times")
 
-def account_per_parcel(scoped: DataFrame, labels: DataFrame) -> DataFrame:
-    """The account with the largest assessed value per key, with its neighborhood."""
-    best = best_record(scoped.filter(F.col("assessed") > 0), KEY, "assessed", ORDER).drop(ORDER, "known")
+
+def account_per_parcel(
+    accounts: DataFrame, parcels: DataFrame, labels: DataFrame, city: str = DISTRICT
+) -> DataFrame:
+    """The account with the largest assessed value per key, with its neighborhood.
+
+    Of a known parcel all accounts count, of another one those whose mailing city names the city. Both winners are
+    found before the parcels are joined, so many accounts of one parcel are reduced on the map side.
+    """
+    columns = ["mailLine", "mailCity", "mailZip", "assessed"]
+    record, rank = F.struct(*columns), F.struct(-F.col("assessed"), F.col(ORDER))
+    winners = (
+        accounts.filter(F.col("assessed") > 0)
+        .groupBy(*KEY)
+        .agg(
+            F.min_by(record, rank).alias("any"),
+            F.min_by(record, F.when(F.col("mailCity").contains(city), rank)).alias("inside"),
+        )
+    )
+    joined = winners.join(parcels.withColumn("known", F.lit(True)), KEY, "left")
+    joined = joined.withColumn("winner", F.when(F.col("known"), F.col("any")).otherwise(F.col("inside")))
+    best = joined.filter(F.col("winner").isNotNull()).select(
+        *KEY, "winner.*", "districtName", "area", "subArea", "sqFtLot", "zoning"
+    )
     best = best.withColumns(
         {
             "area": null_to_blank("area"),
@@ -231,8 +253,8 @@ def county_proxy(
 ) -> DataFrame:
     """All extracts as frames (with row order) to the county table; ``ord`` carries the order of the sales."""
     known = district_parcels(parcels)
-    scoped = accounts_in_scope(accounts, known)
-    per_parcel = account_per_parcel(scoped, area_labels(scoped))
+    typed = typed_accounts(accounts)
+    per_parcel = account_per_parcel(typed, known, area_labels(typed, known))
     return county_rows(
         sales, per_parcel, building_per_parcel(buildings), type_names(lookup), points, F.lit(as_of).cast("date")
     )
