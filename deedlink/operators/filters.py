@@ -31,6 +31,9 @@ def canonical_fields(df: DataFrame) -> DataFrame:
     )
     original = first_positive(c["mlsOriginalPrice"], c["originalListPrice"])
     close = first_positive(c["mlsClosePrice"], c["closePrice"])
+    # prices become columns of their own first, so that each text is read once
+    df = df.withColumns({"__pending": pending, "__original": original, "__close": close})
+    pending, original, close = F.col("__pending"), F.col("__original"), F.col("__close")
     typed = df.withColumns(
         {
             "listDate": lenient_date(first_text(c["mlsListDate"], c["listDate"])),
@@ -46,7 +49,7 @@ def canonical_fields(df: DataFrame) -> DataFrame:
             "lon": F.when(parse_number(c["lon"]) != 0, parse_number(c["lon"])),
         }
     )
-    return with_presold_flag(typed)
+    return with_presold_flag(typed.drop("__pending", "__original", "__close"))
 
 
 #: Signs of a home sold before it was built.
