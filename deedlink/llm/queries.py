@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deedlink.llm import byte_pairs, compression_quality, isolation_rules, jaccard_join, secret_scan
+from deedlink.llm import byte_pairs, capture_index, compression_quality, containment, isolation_rules, jaccard_join, secret_scan, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,24 @@ def vocabulary(spark: SparkSession) -> tuple[dict[bytes, int], str]:
     return byte_pairs.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+@query
+def op1_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    rows = shards.kd_shards(table(spark, folder, "documents"), ["n_chars", "source", "lang", "doc_id"], shards=40)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op2_capture_index(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives and read back through their index."""
+    return capture_index.captures(table(spark, folder, "pages"))
+
+
+SQL["op2_capture_index"] = capture_index.CAPTURES_SQL
+
+
 @query
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its class of near duplicates and its number of links."""
@@ -69,3 +87,9 @@ def op6_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op9_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document by the public byte-level ranks, and the text decoded from them."""
     return byte_pairs.token_digests(table(spark, folder, "documents"), *vocabulary(spark))
+
+
+@query
+def op10_containment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and test item that it contains."""
+    return containment.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
