@@ -229,52 +229,49 @@ def _loaded_once(ranks: dict[bytes, int], key: int) -> tuple[Transducer, Utf8Mac
     return _loaded[key]
 
 
-def encode_and_decode(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Per row of ``documents``: doc_id, ids (array of int), decoded (text of the ids).
+#: Columns that can be asked for besides doc_id.
+COLUMNS = {"ids": "array<int>", "decoded": "string", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    Every match of ``pattern`` is encoded by itself and there are no special tokens. Null texts count as empty, which
-    have no ids; null ids and repeated rows stay.
+
+def tokens(documents: DataFrame, ranks: dict[bytes, int], pattern: str, columns: list[str]) -> DataFrame:
+    """Per row of ``documents``: doc_id and ``columns`` of ids, decoded (text of the ids), n_tokens, ids_sha256 and decoded_sha256.
+
+    Every match of ``pattern`` is encoded by itself and there are no special tokens. ids_sha256: of ids as little-endian 32-bit
+    numbers; decoded_sha256: of the decoded text in UTF-8. Null texts count as empty, which have no ids; null
+    ids and repeated rows stay.
     """
     slim = documents.select("doc_id", "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return map_arrow(slim, _runner(documents.sparkSession, ranks, pattern, digests=False), f"doc_id {kind}, ids array<int>, decoded string")
+    schema = f"doc_id {kind}, " + ", ".join(f"{c} {COLUMNS[c]}" for c in columns)
+    return map_arrow(slim, _runner(documents.sparkSession, ranks, pattern, columns), schema)
 
 
 def token_digests(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """As ``encode_and_decode``, but n_tokens, ids_sha256 (ids as little-endian 32-bit numbers) and decoded_sha256 (UTF-8)."""
-    slim = documents.select("doc_id", "text")
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return map_arrow(slim, _runner(documents.sparkSession, ranks, pattern, digests=True), schema)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``documents``."""
+    return tokens(documents, ranks, pattern, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _runner(spark: SparkSession, ranks: dict[bytes, int], pattern: str, digests: bool):
+def _runner(spark: SparkSession, ranks: dict[bytes, int], pattern: str, columns: list[str]):
     shared = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
     key = hash(tuple(sorted(ranks.items())))
+    kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, machine = _loaded_once(shared.value, key)
         find = regex.compile(pattern).findall
         gc.disable()  # what a worker remembers has no cycles; going through it again and again takes half the time
         for batch in batches:
-            doc_ids, columns = batch.column("doc_id"), ([], [], [])
+            out: dict[str, list] = {c: [] for c in columns}
             for text in texts(batch.column("text")):
                 ids = coder.encode(find(text))
-                decoded = "".join(machine.decode(ids, coder.tokens))
-                if digests:
-                    data = np.array(ids, "<u4").tobytes()
-                    values = (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                else:
-                    values = (np.array(ids, np.int32), decoded)
-                for column, value in zip(columns, values):
-                    column.append(value)
-            if digests:
-                arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            else:
-                arrays = [pa.array(columns[0], pa.list_(pa.int32())), pa.array(columns[1], pa.string())]
-                names = ["doc_id", "ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([doc_ids, *arrays], names)
+                numbers, decoded = np.array(ids, "<u4"), "".join(machine.decode(ids, coder.tokens))
+                made = {"ids": lambda: numbers.astype(np.int32), "decoded": lambda: decoded, "n_tokens": lambda: len(ids)}
+                made |= {"ids_sha256": lambda: hashlib.sha256(numbers.tobytes()).hexdigest()}
+                made |= {"decoded_sha256": lambda: hashlib.sha256(decoded.encode("utf-8")).hexdigest()}
+                for c in columns:
+                    out[c].append(made[c]())
+            arrays = [pa.array(out[c], kinds.get(c, pa.string())) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *columns])
         gc.enable()
 
     return run

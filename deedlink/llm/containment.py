@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from deedlink.llm.common import map_arrow, shingle_sequence, texts
+from deedlink.llm.common import map_arrow, shingle_sequence, stage, texts
 
 THRESHOLD = 0.8
 FUNCTIONS = 64
@@ -28,6 +28,8 @@ NARROWEST = 4
 #: Items and bytes of their texts that are held in memory in one pass over the documents.
 PASS_ITEMS = 20_000
 PASS_BYTES = 32_000_000
+#: Contaminated documents whose ids are sent to all executors, at most; beyond that they are joined by a shuffle.
+BROADCAST_IDS = 400_000
 #: Shingles hashed at a time.
 CHUNK = 8_192
 SEED = 11
@@ -177,5 +179,6 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, threshold: float
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``documents`` that contain no item; a row whose doc_id is null is kept."""
-    found = contained_items(documents, benchmark, threshold).select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_anti")
+    found = stage(contained_items(documents, benchmark, threshold).select("doc_id").distinct(), "contaminated")
+    small = found.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(found) if small else found, "doc_id", "left_anti")

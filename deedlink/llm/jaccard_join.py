@@ -294,3 +294,18 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFram
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
     )
+
+
+def one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` without those that reach a lesser doc_id over links; of rows equal in id and text one stays.
+
+    Rows whose id is null stay.
+    """
+    found = stage(jaccard_join(documents, threshold), "jaccard-classes-of-documents")
+    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    small = gone.count() <= BROADCAST_IDS
+    left = documents.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    if twice.isEmpty():
+        return left
+    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))

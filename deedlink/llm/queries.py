@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deedlink.llm import byte_pairs, capture_index, compression_quality, containment, isolation_rules, jaccard_join, secret_scan, shards
+from deedlink.llm import byte_pairs, capture_index, compression_quality, containment, isolation_rules, jaccard_join, licence_paragraphs, line_dedup, secret_scan, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +83,18 @@ def op6_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_licence_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence families of every document's paragraphs."""
+    return licence_paragraphs.licences(table(spark, folder, "documents"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of every document with its class of near-equal lines and whether it stays."""
+    return line_dedup.line_classes(table(spark, folder, "documents"))
+
+
 @query
 def op9_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document by the public byte-level ranks, and the text decoded from them."""
