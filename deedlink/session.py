@@ -15,6 +15,8 @@ SESSION_SETTINGS = {
     # split a skewed side even where that costs one more exchange further up
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # checkpoint files go when their frame does
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # write timestamps into parquet as logical microseconds (readable by every engine)
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
@@ -39,15 +41,25 @@ def local_session(cpus: int | str = "*", app: str = "deedlink", **extra: str) ->
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage, so that lost executors cannot change it.
 
-    Uses the folder named by ``spark.checkpoint.dir``; a folder of its own is made only when the
-    session names none (single-machine tests).
+    Uses the folder named by ``spark.checkpoint.dir``. Only a session on one machine may leave it out and gets a
+    temporary folder; elsewhere the driver's disk would be a folder that executors cannot see, so that is an error.
+    Spark deletes the files when the frame is no longer used if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="deedlink-ckpt-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not _is_local(spark):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="deedlink-ckpt-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

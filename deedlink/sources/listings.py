@@ -52,15 +52,21 @@ def list_exports(spark: SparkSession, directory: str) -> list[str]:
     return sorted(n for n in names if not n.startswith("."))
 
 
+def _escaped(name: str) -> str:
+    """A file name as a path pattern that stands for itself."""
+    return "".join("\\" + c if c in "\\*?[]{}" else c for c in name)
+
+
 def read_lines(spark: SparkSession, directory: str) -> DataFrame:
     """Lines that are not blank as (file, row, value); ``row`` is the dense 0-based position inside the file.
 
     Numbers come from the running id of the scan, shifted by the sizes of the blocks before; the shift table has one
     row per block of a file. The lines are written out first so that both uses see the same ids.
     """
+    # read by name: in a directory scan Spark leaves out names that begin with an underscore
+    paths = [f"{directory.rstrip('/')}/{_escaped(name)}" for name in list_exports(spark, directory)]
     scanned = (
-        spark.read.option("pathGlobFilter", EXPORT_FILES)
-        .text(directory)
+        spark.read.text(paths)
         .select(
             "value",
             # the name comes URL-encoded, a plus sign in it does not stand for a blank
