@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deedlink.functions.presence import present
+from deedlink.session import cut_lineage
 
 
 def learned_label(
@@ -150,10 +151,10 @@ def exact_percentiles(
     """Exact interpolated percentiles per key, together with the number of values ``n``.
 
     The built-in exact percentile holds every distinct value of a group in one task. Here equal values are counted
-    first, a histogram of buckets of ``bucket_width`` is ranked per key, and only the buckets that hold a wanted rank
-    are ordered by value.
+    first and written out, since three steps read them; a histogram of buckets of ``bucket_width`` is ranked per key, and
+    only the buckets that hold a wanted rank are ordered by value.
     """
-    counted = (
+    counted = cut_lineage(
         df.filter(F.col(value).isNotNull())
         .withColumn("__bucket", F.floor(F.col(value) / F.lit(bucket_width)))
         .groupBy(*keys, "__bucket", value)

@@ -14,6 +14,7 @@ from deedlink.functions.numbers import round_half_up
 from deedlink.functions.presence import null_to_blank, trimmed
 from deedlink.operators.aggregates import exact_percentiles
 from deedlink.operators.enrich import ENRICHED
+from deedlink.session import cut_lineage
 
 #: Names in the output.
 TIER_NAMES = ["T1_NEIGHBORHOOD_TYPE", "T2_ZIP_TYPE", "T3_CITY_TYPE"]
@@ -78,13 +79,28 @@ def comparable_sales(df: DataFrame, as_of: Column, model: BidModel = BidModel())
     return pool.filter(~F.col("isLikelyPresoldNewBuild")) if model.exclude_presold else pool
 
 
-def tier_spreads(comps: DataFrame, keys: list[str], ratio: str, model: BidModel) -> DataFrame:
-    """Per tier key: number of comparable sales and the ratios behind low, suggested and high."""
-    shares = {"low": model.low_share, "mid": model.strategies[model.strategy], "high": model.high_share}
-    known = comps
+def _tier_key(keys: list[str]) -> Column:
+    """The values of a tier's keys as one text; null if one is missing."""
+    known = F.lit(True)
     for k in keys:
-        known = known.filter(F.col(k).isNotNull())
-    return exact_percentiles(known, keys, ratio, shares, model.bucket_width)
+        known = known & F.col(k).isNotNull()
+    return F.when(known, F.to_json(F.struct(*keys)))
+
+
+def _by_tier(df: DataFrame, tiers: list[list[str]]) -> DataFrame:
+    """Every row once for each tier whose keys it has, with ``tier_number`` and ``tier_key``."""
+    places = F.array(*[F.struct(F.lit(i).alias("tier_number"), _tier_key(keys).alias("tier_key")) for i, keys in enumerate(tiers)])
+    return df.withColumn("__place", F.explode(places)).select(*df.columns, "__place.*").filter(F.col("tier_key").isNotNull())
+
+
+def tier_spreads(comps: DataFrame, tiers: list[list[str]], ratio: str, model: BidModel) -> DataFrame:
+    """Per tier and key with enough comparable sales: their number and the ratios behind low, suggested and high.
+
+    All tiers come out of one pass over the sales.
+    """
+    shares = {"low": model.low_share, "mid": model.strategies[model.strategy], "high": model.high_share}
+    spreads = exact_percentiles(_by_tier(comps, tiers), ["tier_number", "tier_key"], ratio, shares, model.bucket_width)
+    return spreads.filter(F.col("n") >= model.min_comps)
 
 
 def recommend(
@@ -93,12 +109,14 @@ def recommend(
     """Bid columns for every subject, from the first tier with enough comparable sales.
 
     Comparable sales are reduced to one row per tier key before they meet a subject, so no subject-sale pair is made.
+    That table is small and written out, so that looking it up for each tier does not make it again.
     """
     result = subjects
+    spreads = cut_lineage(tier_spreads(comps, tiers, ratio, model))
     for i, keys in enumerate(tiers):
-        s = tier_spreads(comps, keys, ratio, model)
-        s = s.filter(F.col("n") >= model.min_comps).select(*keys, F.struct("n", "low", "mid", "high").alias(f"__t{i}"))
-        result = result.join(s, keys, "left")
+        own = spreads.filter(F.col("tier_number") == i)
+        own = own.select(F.col("tier_key").alias(f"__k{i}"), F.struct("n", "low", "mid", "high").alias(f"__t{i}"))
+        result = result.join(own, _tier_key(keys) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
     found = [F.col(f"__t{i}") for i in range(len(tiers))]
     tier = F.lit(None).cast("string")
     for name, t in reversed(list(zip(TIER_NAMES, found))):
@@ -135,24 +153,19 @@ def comps_used(
     All subjects with one tier key share their sales, so the top ``k`` are taken per tier key (Spark keeps only ``k``
     rows per key and partition before the shuffle) and joined to the subjects afterwards.
     """
-    parts = []
-    for name, keys in zip(TIER_NAMES, tiers):
-        known = comps
-        for key in keys:
-            known = known.filter(F.col(key).isNotNull())
-        top = (
-            known.withColumn("comp_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-            .filter(F.col("comp_rank") <= k)
-            .select(*keys, "comp_rank", *[F.col(c).alias(f"comp_{c}") for c in columns])
-        )
-        users = scored.filter(F.col("bidCompTier") == name)
-        parts.append(
-            users.join(top, keys).select(subject_id, "bidCompTier", "comp_rank", *[f"comp_{c}" for c in columns])
-        )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    first = Window.partitionBy("tier_number", "tier_key").orderBy(*order)
+    top = (
+        _by_tier(comps, tiers)
+        .withColumn("comp_rank", F.row_number().over(first))
+        .filter(F.col("comp_rank") <= k)
+        .select("tier_number", "tier_key", "comp_rank", *[F.col(c).alias(f"comp_{c}") for c in columns])
+    )
+    number, key = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, (name, keys) in enumerate(zip(TIER_NAMES, tiers)):
+        used = F.col("bidCompTier") == name
+        number, key = F.when(used, i).otherwise(number), F.when(used, _tier_key(keys)).otherwise(key)
+    users = scored.select(subject_id, "bidCompTier", number.alias("tier_number"), key.alias("tier_key"))
+    return users.join(top, ["tier_number", "tier_key"]).select(subject_id, "bidCompTier", "comp_rank", *[f"comp_{c}" for c in columns])
 
 
 def project_prices(

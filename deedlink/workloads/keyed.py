@@ -10,7 +10,7 @@ from deedlink.functions.presence import count_present
 from deedlink.functions.text import status_rank
 from deedlink.operators import aggregates as a
 from deedlink.operators.dedupe import collapse_snapshots, freshness
-from deedlink.operators.ordering import fragment_of, with_group_position, with_position
+from deedlink.operators.ordering import with_group_position, with_position
 from deedlink.operators.resolve import Lookup, resolve_by_cascade
 from deedlink.sources.coordinates import inside_box, parcel_points
 from deedlink.functions.keys import major_of, minor_of
@@ -392,12 +392,3 @@ def distinct_values_per_key(spark, sf):
     # one row per user and type, so the window sees as many rows per user as there are types
     return per.withColumn("all_events", F.sum("events").over(Window.partitionBy("user_id")))
 
-
-@workload("""
-    SELECT o_orderkey // 1048576 AS fragment, count(*) AS rows, min(o_orderkey) AS least, max(o_orderkey) AS largest FROM orders GROUP BY ALL""")
-def order_fragments(spark, sf):
-    return (
-        table(spark, sf, "orders")
-        .groupBy(fragment_of("o_orderkey").alias("fragment"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("largest"))
-    )
