@@ -12,7 +12,10 @@ from deedlink.functions.presence import as_column
 
 def number_or_null(c: Column | str) -> Column:
     """Digits, dot and minus of a text read as a double; null when they form no number (a blank text does not)."""
-    return F.regexp_replace(as_column(c).cast("string"), "[^0-9.-]", "").try_cast("double")
+    text = as_column(c).cast("string")
+    # most texts are plain numbers and need no rewriting
+    plain = F.translate(text, "0123456789.-", "") == ""
+    return F.when(plain, text).otherwise(F.regexp_replace(text, "[^0-9.-]", "")).try_cast("double")
 
 
 def parse_number(c: Column | str) -> Column:

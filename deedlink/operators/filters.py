@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from deedlink.functions.dates import lenient_date
 from deedlink.functions.numbers import parse_number
@@ -13,18 +13,32 @@ from deedlink.operators.aggregates import exact_percentiles
 from deedlink.operators.enrich import ENRICHED
 
 
-def first_positive(*columns: Column | str) -> Column:
-    """The first value that reads as a number above zero, else null."""
-    numbers = [parse_number(c) for c in columns]
+def first_positive(*numbers: Column) -> Column:
+    """The first number above zero, else null."""
     return F.coalesce(*[F.when(n > 0, n) for n in numbers])
 
 
 def canonical_fields(df: DataFrame) -> DataFrame:
     """The fields analyses work on, typed; listing values go before county values."""
-    c = {n: F.col(n) if n in df.columns else F.lit(None).cast("string") for n in (
-        "mlsListDate", "listDate", "mlsPendingDate", "pendingDate", "mlsListingPrice", "mlsListPriceAtPending",
-        "pendingListPrice", "listPriceAtPending", "mlsOriginalPrice", "originalListPrice", "mlsClosePrice", "closePrice",
-        "saleToListRatio", "saleToOriginalListRatio", "lat", "lon", "saleDate", "mlsSellingDate",
+    kinds = {f.name: f.dataType for f in df.schema}
+
+    def number(name: str) -> Column:
+        """A typed column is taken as it is, only text is parsed."""
+        if name not in kinds:
+            return F.lit(None).cast("double")
+        return F.col(name).cast("double") if isinstance(kinds[name], T.NumericType) else parse_number(name)
+
+    def first_date(*names: str) -> Column:
+        found = [n for n in names if n in kinds]
+        if found and all(isinstance(kinds[n], T.StringType) for n in found):
+            return lenient_date(first_text(*found))
+        typed = (T.DateType, T.TimestampType, T.TimestampNTZType)
+        dates = [F.col(n).cast("date") if isinstance(kinds[n], typed) else lenient_date(n) for n in found]
+        return F.coalesce(*dates, F.lit(None).cast("date"))
+
+    c = {n: number(n) for n in (
+        "mlsListingPrice", "mlsListPriceAtPending", "pendingListPrice", "listPriceAtPending", "mlsOriginalPrice",
+        "originalListPrice", "mlsClosePrice", "closePrice", "saleToListRatio", "saleToOriginalListRatio", "lat", "lon",
     )}
     pending = first_positive(
         c["mlsListingPrice"], c["mlsListPriceAtPending"], c["pendingListPrice"], c["listPriceAtPending"]
@@ -36,9 +50,9 @@ def canonical_fields(df: DataFrame) -> DataFrame:
     pending, original, close = F.col("__pending"), F.col("__original"), F.col("__close")
     typed = df.withColumns(
         {
-            "listDate": lenient_date(first_text(c["mlsListDate"], c["listDate"])),
-            "pendingDate": lenient_date(first_text(c["mlsPendingDate"], c["pendingDate"])),
-            "saleDate": lenient_date(first_text(c["mlsSellingDate"], c["saleDate"])),
+            "listDate": first_date("mlsListDate", "listDate"),
+            "pendingDate": first_date("mlsPendingDate", "pendingDate"),
+            "saleDate": first_date("mlsSellingDate", "saleDate"),
             "pendingListPrice": pending,
             "originalListPrice": original,
             "listPriceAtPending": pending,
@@ -46,7 +60,7 @@ def canonical_fields(df: DataFrame) -> DataFrame:
             "saleToList": F.coalesce(first_positive(c["saleToListRatio"]), close / pending),
             "saleToOriginalList": F.coalesce(first_positive(c["saleToOriginalListRatio"]), close / original),
             "lat": first_positive(c["lat"]),
-            "lon": F.when(parse_number(c["lon"]) != 0, parse_number(c["lon"])),
+            "lon": F.when(c["lon"] != 0, c["lon"]),
         }
     )
     return with_presold_flag(typed.drop("__pending", "__original", "__close"))
