@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words in a shingle.
 SHINGLE_WORDS = 5
@@ -43,6 +43,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def smallest(df: DataFrame, order: Column, rows: int, total: int) -> DataFrame:
+    """At most ``rows`` rows of ``df``, those with the least 64-bit hash ``order``; ``total``: a lower bound for its rows.
+
+    Where there are many rows, all but the hashes that can be among the least are left out first, so that what is
+    sorted does not grow with the number of partitions.
+    """
+    if total > 32 * rows:
+        df = df.where(order <= F.lit(-(1 << 63) + int((1 << 64) * 8 * rows / total)))
+    return df.orderBy(order, *df.columns).limit(rows)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of the session's executors."""
     context = spark.sparkContext

@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from deedlink.llm.common import map_arrow, stage, texts
+from deedlink.llm.common import map_arrow, smallest, stage, texts
 
 BLOCK = 512
 DICTIONARY_BYTES = 65_536
@@ -96,7 +96,7 @@ def fit(documents: DataFrame, labels: DataFrame, allowed: Column | None = None,
     if allowed is not None:
         chosen = chosen.where(allowed)
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = smallest(chosen, F.xxhash64("doc_id"), sample_rows, chosen.count())
     rows = stage(
         documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", fold(F.col("doc_id"))),
         "quality-sample",

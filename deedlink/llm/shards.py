@@ -54,8 +54,8 @@ def number_of(column: str, kind: str) -> Column:
     if kind == "string":
         code = F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
     else:
-        # a quarter of the range: differences of two values then never overflow
-        code = F.shiftright(c.cast("long"), 2) if kind == "bigint" else c.cast("long")
+        # values beyond 2 ** 61 count as equal: differences of two values then never overflow
+        code = F.greatest(F.least(c.cast("long"), F.lit(1 << 61)), F.lit(-(1 << 61)))
     return F.coalesce(code, F.lit(-1 if kind == "string" else -(1 << 61)))
 
 
@@ -133,7 +133,8 @@ def kd_shards(documents: DataFrame, dimensions: list[str], shards: int | None =
         *(number_of(c, kinds[c]).alias(d) for c, d in zip(dimensions, dims)),
     )
     # the only pass over the texts; everything else reads a few numbers per row
-    rows = stage(rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "place"), 3)), "shard-metadata")
+    rows = rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "place"), 3))
+    rows = stage(rows.withColumn("node", F.lit(0).cast("long")), "shard-metadata")
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     if shards is None:
         if not target_bytes:
@@ -144,7 +145,7 @@ def kd_shards(documents: DataFrame, dimensions: list[str], shards: int | None =
     whole = {d: max((ranges[f"max_{d}"] or 0) - (ranges[f"min_{d}"] or 0), 1) for d in dims}
 
     # a node is named by its first shard; leaves: how many shards it gives
-    placed, leaves = rows.withColumn("node", F.lit(0).cast("long")), {0: shards}
+    placed, leaves = rows, {0: shards}
     while count and any(n > 1 for n in leaves.values()):
         spans = placed.groupBy("node").agg(F.sum("size").alias("bytes"), *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))))
         todo: dict[int, tuple[int, float, int, int]] = {}
