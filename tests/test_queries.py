@@ -6,12 +6,15 @@ import os
 import pytest
 from oracle import compare, connect
 
+from deedlink.workloads import load_all
+
 FOLDER = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 entry = importlib.import_module("__spark_entry__")
-RUN, SQL = entry.queries(), entry.oracle_sql()
+RUN = {name: w.run for name, w in load_all().items()}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in RUN}
 
 
 @pytest.fixture(scope="module")
