@@ -6,12 +6,14 @@ import datetime as dt
 
 from pyspark.sql import Window, functions as F
 
+from deedlink.functions.dates import in_rolling_year
 from deedlink.functions.presence import count_present
 from deedlink.functions.text import status_rank
 from deedlink.operators import aggregates as a
 from deedlink.operators.dedupe import collapse_snapshots, freshness
 from deedlink.operators.ordering import with_group_position, with_position
-from deedlink.operators.resolve import Lookup, resolve_by_cascade
+from deedlink.functions.address import address_key
+from deedlink.operators.resolve import Lookup, county_addresses, previous_parcels, resolve_by_cascade, resolve_listings, wanted_addresses
 from deedlink.sources.coordinates import inside_box, parcel_points
 from deedlink.functions.keys import major_of, minor_of
 from deedlink.workloads.registry import cents, day, day_text, sql_cents, sql_day_text, table, workload
@@ -25,10 +27,7 @@ YEAR_START = dt.date(2000, 8, 1)
     SELECT o_orderkey, o_custkey, {sql_cents("o_totalprice")} AS price_cents, {sql_day_text("o_orderdate")} AS ordered
     FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '{YEAR_START}' AND DATE '{AS_OF}'""")
 def rolling_window(spark, sf):
-    # the raw column is compared with plain bounds, so the filter reaches the parquet scan
-    start = F.lit(YEAR_START.isoformat()).cast("timestamp_ntz")
-    end = F.lit((AS_OF + dt.timedelta(days=1)).isoformat()).cast("timestamp_ntz")
-    o = table(spark, sf, "orders").filter((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end))
+    o = table(spark, sf, "orders").filter(in_rolling_year(day("o_orderdate"), F.lit(AS_OF)))
     return o.select("o_orderkey", "o_custkey", cents("o_totalprice").alias("price_cents"), day_text("o_orderdate").alias("ordered"))
 
 
@@ -302,33 +301,103 @@ def resolution_cascade(spark, sf):
     )
 
 
-@workload("""
-    WITH wanted AS (SELECT DISTINCT p_name || '|' || p_brand AS key FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 45),
-    keyed AS (SELECT p_name || '|' || p_brand AS key, p_partkey, p_type FROM part)
-    SELECT key, p_type, count(DISTINCT p_partkey) AS parts, min(p_partkey) AS least FROM keyed SEMI JOIN wanted USING (key) GROUP BY ALL""")
+# county rows out of suppliers (buildings) and customers (accounts), listings out of orders: streets that need no rewriting
+BUILDING_SQL = """SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS apn, (s_suppkey % 40) || ' ' || CASE WHEN s_suppkey % 3 = 0 THEN '1/2 ' ELSE '' END || 'OAK ST|98101' AS exact,
+    (s_suppkey % 40) || ' OAK ST|98101' AS no_unit FROM supplier"""
+ACCOUNT_SQL = """SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS apn, (c_custkey % 500) || ' OAK ST' || CASE WHEN c_custkey % 4 = 0 THEN ' UNIT ' || (c_custkey % 9) ELSE '' END || '|98101' AS exact,
+    (c_custkey % 500) || ' OAK ST|98101' AS no_unit FROM customer"""
+LISTING_SQL = """SELECT o_orderkey, 'L' || o_orderkey AS listing, CASE WHEN o_orderstatus = 'F' THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') ELSE '' END AS apn,
+    CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 45) || ' 1/2 OAK ST|98101' WHEN 1 THEN (o_orderkey % 700) || ' OAK ST UNIT ' || (o_orderkey % 9) || '|98101' ELSE (o_orderkey % 900) || ' OAK ST|98101' END AS exact,
+    CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 45) WHEN 1 THEN (o_orderkey % 700) ELSE (o_orderkey % 900) END || ' OAK ST|98101' AS no_unit FROM orders"""
+ADDRESS_CTES = f"""b AS ({BUILDING_SQL}), a AS ({ACCOUNT_SQL}), l AS ({LISTING_SQL}),
+    wanted AS (SELECT DISTINCT 'exact' AS level, exact AS key FROM l WHERE apn = '' UNION SELECT DISTINCT 'no_unit', no_unit FROM l WHERE apn = ''),
+    keyed AS (SELECT 'building' AS source, 'exact' AS level, exact AS key, apn FROM b UNION ALL SELECT 'building', 'no_unit', no_unit, apn FROM b
+              UNION ALL SELECT 'account', 'exact', exact, apn FROM a UNION ALL SELECT 'account', 'no_unit', no_unit, apn FROM a),
+    found AS (SELECT * FROM keyed SEMI JOIN wanted USING (level, key))"""
+
+
+def _street(number, unit=None, middle=None):
+    parts = [number.cast("string"), *([middle] if middle is not None else []), F.lit("Oak St"), *([unit] if unit is not None else [])]
+    return F.concat_ws(" ", *parts)
+
+
+def _county_listings(spark, sf):
+    """Listings with address keys made by the package's own rules."""
+    key = F.col("o_orderkey")
+    number = F.when(key % 3 == 0, key % 45).when(key % 3 == 1, key % 700).otherwise(key % 900)
+    unit = F.when(key % 3 == 1, F.concat(F.lit("#"), (key % 9).cast("string")))
+    half = F.when(key % 3 == 0, F.lit("1/2"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("L"), key.cast("string")).alias("listingNumber"),
+        F.when(F.col("o_orderstatus") == "F", F.lpad(F.col("o_custkey").cast("string"), 10, "0")).otherwise("").alias("apn"),
+        address_key(_street(number, unit, half), F.lit("98101-0001")).alias("addressKeyExact"),
+        address_key(_street(number), F.lit("98101")).alias("addressKeyNoUnit"),
+    )
+
+
+def _county_addresses(spark, sf, listings):
+    supplier, customer = F.col("s_suppkey"), F.col("c_custkey")
+    major, minor = (lambda k: F.substring(F.lpad(k.cast("string"), 10, "0"), 1, 6)), (lambda k: F.substring(F.lpad(k.cast("string"), 10, "0"), 7, 4))
+    buildings = table(spark, sf, "supplier").select(
+        major(supplier).alias("Major"), minor(supplier).alias("Minor"), (supplier % 40).cast("string").alias("BuildingNumber"),
+        F.when(supplier % 3 == 0, "1/2").otherwise("").alias("Fraction"), F.lit("").alias("DirectionPrefix"), F.lit("Oak").alias("StreetName"),
+        F.lit("Street").alias("StreetType"), F.lit("").alias("DirectionSuffix"), F.lit("98101").alias("ZipCode"),
+    )
+    unit = F.when(customer % 4 == 0, F.concat(F.lit("#"), (customer % 9).cast("string")))
+    accounts = table(spark, sf, "customer").select(
+        major(customer).alias("Major"), minor(customer).alias("Minor"), _street(customer % 500, unit).alias("AddrLine"), F.lit("98101").alias("ZipCode")
+    )
+    return county_addresses(buildings, accounts, wanted_addresses(listings))
+
+
+@workload(f"""
+    WITH {ADDRESS_CTES}
+    SELECT source, level, key, count(DISTINCT apn) AS parcels, min(apn) AS least FROM found GROUP BY ALL""")
 def address_index(spark, sf):
-    part = table(spark, sf, "part").withColumn("key", F.concat_ws("|", "p_name", "p_brand"))
-    lines = table(spark, sf, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
-    wanted = part.join(lines, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("key").distinct()
-    return (
-        part.join(wanted, "key", "left_semi")
-        .select("key", "p_type", "p_partkey")
-        .distinct()
-        .groupBy("key", "p_type")
-        .agg(F.count(F.lit(1)).alias("parts"), F.min("p_partkey").alias("least"))
+    found = _county_addresses(spark, sf, _county_listings(spark, sf))
+    return found.groupBy("source", "level", "key").agg(F.count_distinct("apn").alias("parcels"), F.min("apn").alias("least"))
+
+
+PREVIOUS_SQL = """SELECT 'L' || c_custkey AS listing, lpad(CAST(arg_min(o_orderkey, o_orderkey) AS VARCHAR), 10, '0') AS previous
+    FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' GROUP BY c_custkey"""
+
+
+def _previous(spark, sf):
+    """A previous output: listing numbers with blanks around them, of which only some rows hold a parcel."""
+    usable = F.when(F.col("o_orderstatus") == "P", F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).otherwise(F.col("o_orderkey").cast("string"))
+    rows = table(spark, sf, "orders").select(
+        F.concat(F.lit(" L"), F.col("o_custkey").cast("string"), F.lit(" ")).alias("mlsListingNumber"), usable.alias("parcelNbr"), "o_orderkey"
     )
+    return previous_parcels(rows, "o_orderkey")
 
 
-@workload("""
-    WITH prev AS (SELECT o_custkey, arg_min(o_orderkey, o_orderkey) FILTER (o_orderstatus = 'F') AS previous FROM orders GROUP BY o_custkey)
-    SELECT c_custkey, coalesce(previous, -1) AS previous FROM customer LEFT JOIN prev ON o_custkey = c_custkey""")
+@workload(f"""
+    WITH prev AS ({PREVIOUS_SQL})
+    SELECT c_custkey, coalesce(previous, '') AS previous FROM customer LEFT JOIN prev ON listing = 'L' || c_custkey""")
 def previous_lookup(spark, sf):
-    usable = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F").select("o_custkey", F.col("o_orderkey").alias("previous"))
-    prev = a.first_value(usable, ["o_custkey"], ["previous"], "previous")
-    c = table(spark, sf, "customer").select("c_custkey")
-    return c.join(prev, F.col("c_custkey") == F.col("o_custkey"), "left").select(
-        "c_custkey", F.coalesce("previous", F.lit(-1)).alias("previous")
-    )
+    c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("L"), F.col("c_custkey").cast("string")).alias("key"))
+    return c.join(_previous(spark, sf), "key", "left").select("c_custkey", F.coalesce("value", F.lit("")).alias("previous"))
+
+
+def _unique_sql(name: str, source: str, level: str) -> str:
+    return f"{name} AS (SELECT key, min(apn) AS {name} FROM found WHERE source = '{source}' AND level = '{level}' GROUP BY key HAVING min(apn) = max(apn))"
+
+
+LISTING_STEPS = [("be", "building", "exact"), ("ae", "account", "exact"), ("bn", "building", "no_unit"), ("an", "account", "no_unit")]
+
+
+@workload(f"""
+    WITH {ADDRESS_CTES}, prev AS ({PREVIOUS_SQL}), {", ".join(_unique_sql(*s) for s in LISTING_STEPS)}
+    SELECT o_orderkey, coalesce(nullif(l.apn, ''), previous, be, ae, bn, an, '') AS apn,
+           CASE WHEN l.apn <> '' THEN 'REALTOR_APN' WHEN previous IS NOT NULL THEN 'PREVIOUS_ENRICHED_LISTING_NUMBER' WHEN be IS NOT NULL THEN 'COUNTY_RESBLDG_EXACT'
+                WHEN ae IS NOT NULL THEN 'COUNTY_ACCOUNT_EXACT' WHEN bn IS NOT NULL THEN 'COUNTY_RESBLDG_NO_UNIT' WHEN an IS NOT NULL THEN 'COUNTY_ACCOUNT_NO_UNIT' ELSE '' END AS method
+    FROM l LEFT JOIN prev USING (listing) LEFT JOIN be ON be.key = exact LEFT JOIN ae ON ae.key = exact LEFT JOIN bn ON bn.key = no_unit LEFT JOIN an ON an.key = no_unit""")
+def listing_resolution(spark, sf):
+    """Missing parcels through all steps of the cascade."""
+    listings = _county_listings(spark, sf)
+    resolved = resolve_listings(listings, _previous(spark, sf), _county_addresses(spark, sf, listings))
+    return resolved.select("o_orderkey", F.coalesce("apn", F.lit("")).alias("apn"), F.coalesce("apnResolutionMethod", F.lit("")).alias("method"))
 
 
 @workload("""

@@ -11,6 +11,7 @@ from deedlink.operators import bids as b
 from deedlink.operators import filters as f
 from deedlink.operators.aggregates import group_counts
 from deedlink.operators.validate import output_counts, rule_results
+from deedlink.operators.enrich import ENRICHED
 from deedlink.workloads.registry import cents, day, day_text, sql_cents, sql_day_text, table, workload
 
 
@@ -165,7 +166,7 @@ AS_OF = dt.date(2001, 8, 1)
 TIERS = [["n_name", "c_mktsegment"], ["r_name", "c_mktsegment"], ["c_mktsegment"]]
 MODEL = b.BidModel()
 PLACED_SQL = """
-    SELECT o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) AS day, o_totalprice, n_name, r_name, c_mktsegment,
+    SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS day, o_totalprice, n_name, r_name, c_mktsegment,
            o_totalprice / (200000.0 + o_custkey * 100) AS ratio
     FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"""
 
@@ -181,7 +182,7 @@ def _recommend_sql(status: str, select: str) -> str:
     first = lambda n: f"coalesce({', '.join(n + str(i) for i in range(3))})"
     return f"""
     WITH placed AS ({PLACED_SQL}),
-    comps AS (SELECT * FROM placed WHERE o_orderstatus = 'F' AND day BETWEEN DATE '{AS_OF}' - {MODEL.window_days} AND DATE '{AS_OF}'),
+    comps AS (SELECT * FROM placed WHERE o_orderstatus = 'F' AND o_custkey % 10 <> 0 AND day BETWEEN DATE '{AS_OF}' - {MODEL.window_days} AND DATE '{AS_OF}'),
     {", ".join(_tier_sql(i) for i in range(3))},
     best AS (
         SELECT o_orderkey, o_totalprice AS ask, n_name, r_name, c_mktsegment, {first("n")} AS n,
@@ -218,6 +219,7 @@ def _placed(spark, sf) -> DataFrame:
     joined = table(spark, sf, "orders").join(places, F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(
         "o_orderkey",
+        "o_custkey",
         "o_orderstatus",
         day("o_orderdate").alias("day"),
         "o_totalprice",
@@ -229,10 +231,13 @@ def _placed(spark, sf) -> DataFrame:
 
 
 def _comps(placed: DataFrame) -> DataFrame:
-    end = F.lit(AS_OF)
-    return placed.filter(
-        (F.col("o_orderstatus") == "F") & F.col("day").between(F.date_sub(end, MODEL.window_days), end)
-    )
+    """Finished orders as sold enriched rows, through the package's own pool of comparable sales."""
+    done = F.col("o_orderstatus") == "F"
+    sales = placed.withColumns({
+        "dataMode": F.when(done, ENRICHED).otherwise("PUBLIC_PROXY"), "closePrice": F.col("o_totalprice"), "saleToList": F.col("ratio"),
+        "saleDate": F.col("day"), "isLikelyPresoldNewBuild": F.col("o_custkey") % 10 == 0,
+    })
+    return b.comparable_sales(sales, F.lit(AS_OF), MODEL)
 
 
 def _scored(spark, sf, status: str) -> DataFrame:
