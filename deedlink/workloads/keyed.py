@@ -302,13 +302,13 @@ def resolution_cascade(spark, sf):
 
 
 # county rows out of suppliers (buildings) and customers (accounts), listings out of orders: streets that need no rewriting
-BUILDING_SQL = """SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS apn, (s_suppkey % 40) || ' ' || CASE WHEN s_suppkey % 3 = 0 THEN '1/2 ' ELSE '' END || 'OAK ST|98101' AS exact,
-    (s_suppkey % 40) || ' OAK ST|98101' AS no_unit FROM supplier"""
-ACCOUNT_SQL = """SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS apn, (c_custkey % 500) || ' OAK ST' || CASE WHEN c_custkey % 4 = 0 THEN ' UNIT ' || (c_custkey % 9) ELSE '' END || '|98101' AS exact,
-    (c_custkey % 500) || ' OAK ST|98101' AS no_unit FROM customer"""
+BUILDING_SQL = """SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS apn, (s_suppkey % 90) || ' ' || CASE WHEN s_suppkey % 3 = 0 THEN '1/2 ' ELSE '' END || 'OAK ST|98101' AS exact,
+    (s_suppkey % 90) || ' OAK ST|98101' AS no_unit FROM supplier"""
+ACCOUNT_SQL = """SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS apn, (c_custkey % 1100) || ' OAK ST' || CASE WHEN c_custkey % 4 = 0 THEN ' UNIT ' || (c_custkey % 9) ELSE '' END || '|98101' AS exact,
+    (c_custkey % 1100) || ' OAK ST|98101' AS no_unit FROM customer"""
 LISTING_SQL = """SELECT o_orderkey, 'L' || o_orderkey AS listing, CASE WHEN o_orderstatus = 'F' THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') ELSE '' END AS apn,
-    CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 45) || ' 1/2 OAK ST|98101' WHEN 1 THEN (o_orderkey % 700) || ' OAK ST UNIT ' || (o_orderkey % 9) || '|98101' ELSE (o_orderkey % 900) || ' OAK ST|98101' END AS exact,
-    CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 45) WHEN 1 THEN (o_orderkey % 700) ELSE (o_orderkey % 900) END || ' OAK ST|98101' AS no_unit FROM orders"""
+    CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 95) || ' 1/2 OAK ST|98101' WHEN 1 THEN (o_orderkey % 1300) || ' OAK ST UNIT ' || (o_orderkey % 9) || '|98101' ELSE (o_orderkey % 900) || ' OAK ST|98101' END AS exact,
+    CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 95) WHEN 1 THEN (o_orderkey % 1300) ELSE (o_orderkey % 900) END || ' OAK ST|98101' AS no_unit FROM orders"""
 ADDRESS_CTES = f"""b AS ({BUILDING_SQL}), a AS ({ACCOUNT_SQL}), l AS ({LISTING_SQL}),
     wanted AS (SELECT DISTINCT 'exact' AS level, exact AS key FROM l WHERE apn = '' UNION SELECT DISTINCT 'no_unit', no_unit FROM l WHERE apn = ''),
     keyed AS (SELECT 'building' AS source, 'exact' AS level, exact AS key, apn FROM b UNION ALL SELECT 'building', 'no_unit', no_unit, apn FROM b
@@ -324,7 +324,7 @@ def _street(number, unit=None, middle=None):
 def _county_listings(spark, sf):
     """Listings with address keys made by the package's own rules."""
     key = F.col("o_orderkey")
-    number = F.when(key % 3 == 0, key % 45).when(key % 3 == 1, key % 700).otherwise(key % 900)
+    number = F.when(key % 3 == 0, key % 95).when(key % 3 == 1, key % 1300).otherwise(key % 900)
     unit = F.when(key % 3 == 1, F.concat(F.lit("#"), (key % 9).cast("string")))
     half = F.when(key % 3 == 0, F.lit("1/2"))
     return table(spark, sf, "orders").select(
@@ -340,13 +340,13 @@ def _county_addresses(spark, sf, listings):
     supplier, customer = F.col("s_suppkey"), F.col("c_custkey")
     major, minor = (lambda k: F.substring(F.lpad(k.cast("string"), 10, "0"), 1, 6)), (lambda k: F.substring(F.lpad(k.cast("string"), 10, "0"), 7, 4))
     buildings = table(spark, sf, "supplier").select(
-        major(supplier).alias("Major"), minor(supplier).alias("Minor"), (supplier % 40).cast("string").alias("BuildingNumber"),
+        major(supplier).alias("Major"), minor(supplier).alias("Minor"), (supplier % 90).cast("string").alias("BuildingNumber"),
         F.when(supplier % 3 == 0, "1/2").otherwise("").alias("Fraction"), F.lit("").alias("DirectionPrefix"), F.lit("Oak").alias("StreetName"),
         F.lit("Street").alias("StreetType"), F.lit("").alias("DirectionSuffix"), F.lit("98101").alias("ZipCode"),
     )
     unit = F.when(customer % 4 == 0, F.concat(F.lit("#"), (customer % 9).cast("string")))
     accounts = table(spark, sf, "customer").select(
-        major(customer).alias("Major"), minor(customer).alias("Minor"), _street(customer % 500, unit).alias("AddrLine"), F.lit("98101").alias("ZipCode")
+        major(customer).alias("Major"), minor(customer).alias("Minor"), _street(customer % 1100, unit).alias("AddrLine"), F.lit("98101").alias("ZipCode")
     )
     return county_addresses(buildings, accounts, wanted_addresses(listings))
 
