@@ -151,7 +151,11 @@ def read_listing_cells(spark: SparkSession, directory: str) -> DataFrame:
     """All export rows as text under the known column names, with ``file``, ``rowIndex`` and ``ord``."""
     if not list_exports(spark, directory):
         raise FileNotFoundError(f"No realtor CSV files found in {directory}")
-    lines = read_lines(spark, directory)
+    return cells_of_lines(read_lines(spark, directory))
+
+
+def cells_of_lines(lines: DataFrame) -> DataFrame:
+    """As ``read_listing_cells``, from lines as (file, row, value); ``row`` orders the lines of a file."""
     width = header_width(lines)
     headers = find_headers(lines, width)
     problems = header_problems(headers)
@@ -167,10 +171,12 @@ def read_listing_cells(spark: SparkSession, directory: str) -> DataFrame:
         return F.when(at > 0, F.get("cells", (at - 1).cast("int")))
 
     names = dict.fromkeys([*REQUIRED_LISTING_COLUMNS, *OPTIONAL_LISTING_COLUMNS])
+    place = F.shiftleft(F.col("file_rank").cast("long"), ROW_BITS) + F.col("row")
+    fits = (F.col("row") < (1 << ROW_BITS)) & (F.col("file_rank") < (1 << (63 - ROW_BITS)))
     return rows.select(
         "file",
         (F.col("row") - F.col("header_row") - 1).alias("rowIndex"),
-        (F.shiftleft(F.col("file_rank").cast("long"), ROW_BITS) + F.col("row")).alias("ord"),
+        F.when(fits, place).otherwise(F.raise_error(F.lit("too many files or rows for one order")).cast("long")).alias("ord"),
         *[cell(n).alias(n) for n in names],
     )
 
