@@ -36,7 +36,11 @@ HEADLINE = [
     "geo_ratio_buckets",
     "kpi_summary",
     "bid_recommend",
+    "comp_rows",
+    "top_bids",
     "row_positions",
+    "county_build",
+    "enrichment",
 ]
 
 
