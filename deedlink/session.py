@@ -46,20 +46,27 @@ def _is_local(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Only a session on one machine may leave it out and gets a temporary folder; elsewhere the driver's disk would be a
+    folder that executors cannot see, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not _is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="deedlink-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage, so that lost executors cannot change it.
 
-    Uses the folder named by ``spark.checkpoint.dir``. Only a session on one machine may leave it out and gets a
-    temporary folder; elsewhere the driver's disk would be a folder that executors cannot see, so that is an error.
     Spark deletes the files when the frame is no longer used if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not _is_local(spark):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="deedlink-ckpt-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
