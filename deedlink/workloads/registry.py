@@ -67,11 +67,3 @@ def sql_case(key: str, values: dict, default: str = "NULL") -> str:
     """A fixed table as a CASE expression."""
     quote = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return f"CASE {key} " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in values.items()) + f" ELSE {default} END"
-
-
-def sql_rewrites(expression: str, rules: list[tuple[str, str]]) -> str:
-    """Regular-expression rewrites, the first one innermost."""
-    for pattern, new in rules:
-        pattern = pattern.replace("(?U)", "").replace("'", "''")
-        expression = f"regexp_replace({expression}, '{pattern}', '{new}', 'g')"
-    return expression

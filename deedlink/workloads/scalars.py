@@ -18,7 +18,6 @@ from deedlink.workloads.registry import (
     sql_case,
     sql_cents,
     sql_day_text,
-    sql_rewrites,
     table,
     workload,
 )
@@ -127,17 +126,14 @@ def parcel_key(spark, sf):
     )
 
 
-@workload(f"""
-    WITH s AS (
-        SELECT event_id, CASE event_type WHEN 'click' THEN ' active ' WHEN 'view' THEN 'PENDING bu Requested'
-                           WHEN 'error' THEN 'sold' ELSE event_type || '-like thing' END AS v FROM events),
-    u AS (SELECT event_id, v, upper(trim(v)) AS up FROM s)
+# what the rules must give, written out case by case and not taken from the package's tables
+@workload("""
     SELECT event_id,
-           coalesce({sql_case("up", t.STATUS_NAMES)},
-             array_to_string(list_transform(regexp_extract_all(lower(up), '(\\w+|\\W+)', 1), lambda x: upper(x[1]) || x[2:]), '')) AS status,
-           CAST({sql_case("up", t.STATUS_RANK, "0")} AS INTEGER) AS rank,
-           CAST({sql_case("upper(v)", t.STATUS_PENALTY, "5")} AS INTEGER) AS penalty
-    FROM u""")
+           CASE event_type WHEN 'click' THEN 'Active' WHEN 'view' THEN 'Pending BU Requested' WHEN 'error' THEN 'Sold'
+                WHEN 'signup' THEN 'Signup-Like Thing' WHEN 'purchase' THEN 'Purchase-Like Thing' END AS status,
+           CAST(CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 620 WHEN 'error' THEN 700 ELSE 0 END AS INTEGER) AS rank,
+           CAST(CASE event_type WHEN 'view' THEN 2 ELSE 5 END AS INTEGER) AS penalty
+    FROM events""")
 def status_enum(spark, sf):
     e = table(spark, sf, "events")
     kind = F.col("event_type")
@@ -157,13 +153,6 @@ def status_enum(spark, sf):
 
 
 # an address out of the words of a part: number, name, one of the street words, type, sometimes a unit
-ADDRESS_SQL = """CAST(p_size AS VARCHAR) || ' ' || p_name || ' '
-    || CASE p_partkey % 6 WHEN 0 THEN 'North Street' WHEN 1 THEN 'avenue Southwest' WHEN 2 THEN 'East Boulevard,'
-         WHEN 3 THEN 'Wy N.' WHEN 4 THEN 'Place  Northeast' ELSE 'Junior Highway' END
-    || ' ' || p_type || CASE p_partkey % 4 WHEN 0 THEN ' #' || CAST(p_size AS VARCHAR) WHEN 1 THEN ' apt. B-2'
-         WHEN 2 THEN ', Suite 7' ELSE '' END"""
-
-
 def address_text():
     part, size = F.col("p_partkey"), F.col("p_size").cast("string")
     street = F.when(part % 6 == 0, "North Street").when(part % 6 == 1, "avenue Southwest").when(part % 6 == 2, "East Boulevard,").when(part % 6 == 3, "Wy N.").when(part % 6 == 4, "Place  Northeast").otherwise("Junior Highway")
@@ -171,16 +160,15 @@ def address_text():
     return F.concat(size, F.lit(" "), "p_name", F.lit(" "), street, F.lit(" "), "p_type", unit)
 
 
-ADDRESS_RULES = [*a.ADDRESS_MARKS, *[(rf"\b{word}\b", short) for word, short in a.ADDRESS_WORDS.items()], (r"\s+", " ")]
-CANONICAL_SQL = f"trim({sql_rewrites('upper(v)', ADDRESS_RULES)})"
-
-
-@workload(f"""
-    WITH raw AS (SELECT p_partkey, {ADDRESS_SQL} AS v, '98' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS zip FROM part),
-    c AS (SELECT p_partkey, zip, {CANONICAL_SQL} AS canonical FROM raw)
-    SELECT p_partkey, canonical, canonical || '|' || zip AS address_key,
-           trim(regexp_replace(canonical, '{a.TRAILING_UNIT}', '', 'g')) AS no_unit
-    FROM c""")
+@workload("""
+    WITH c AS (
+        SELECT p_partkey, '98' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS zip,
+               p_size || ' ' || upper(p_name) || ' '
+               || CASE p_partkey % 6 WHEN 0 THEN 'N ST' WHEN 1 THEN 'AVE SW' WHEN 2 THEN 'E BLVD' WHEN 3 THEN 'WAY N' WHEN 4 THEN 'PL NE' ELSE 'JR HWY' END
+               || ' ' || upper(p_type) AS no_unit,
+               CASE p_partkey % 4 WHEN 0 THEN ' UNIT ' || p_size WHEN 1 THEN ' UNIT B-2' WHEN 2 THEN ' UNIT 7' ELSE '' END AS unit
+        FROM part)
+    SELECT p_partkey, no_unit || unit AS canonical, no_unit || unit || '|' || zip AS address_key, no_unit FROM c""")
 def address_canonical(spark, sf):
     raw = table(spark, sf, "part").select(
         "p_partkey",
@@ -319,11 +307,12 @@ def completeness_count(spark, sf):
     )
 
 
-@workload(f"""
-    WITH f AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Cental Seattle Stats 2_9 to 3_20.csv' WHEN 1 THEN 'Sold And Stats - QA.csv'
-                 WHEN 2 THEN s_name || ' Rich Snapshot.csv' WHEN 3 THEN 'NW.csv' WHEN 4 THEN 'Stats.csv' ELSE 'North_' || s_name || ' full.CSV' END AS file FROM supplier),
-    s AS (SELECT s_suppkey, file, trim({sql_rewrites("file", t.REGION_REWRITES)}) AS stem FROM f)
-    SELECT s_suppkey, file, coalesce({sql_case("lower(stem)", t.REGION_ALIASES)}, nullif(stem, ''), 'Seattle') AS region FROM s""")
+@workload("""
+    SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Cental Seattle Stats 2_9 to 3_20.csv' WHEN 1 THEN 'Sold And Stats - QA.csv'
+             WHEN 2 THEN s_name || ' Rich Snapshot.csv' WHEN 3 THEN 'NW.csv' WHEN 4 THEN 'Stats.csv' ELSE 'North_' || s_name || ' full.CSV' END AS file,
+           CASE s_suppkey % 6 WHEN 0 THEN 'Central Seattle' WHEN 1 THEN 'QA Magnolia' WHEN 2 THEN s_name WHEN 3 THEN 'NW Seattle' WHEN 4 THEN 'Seattle'
+             ELSE 'North ' || s_name END AS region
+    FROM supplier""")
 def region_names(spark, sf):
     key, name = F.col("s_suppkey"), F.col("s_name")
     files = _pick(
