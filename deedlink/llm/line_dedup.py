@@ -16,6 +16,8 @@ from deedlink.llm.components import components
 MAX_EDITS = 2
 #: Lines of fewer characters are neither compared nor dropped: a few edits turn them into quite different lines.
 MIN_CHARS = 20
+#: Frequent letters whose counts tell most candidates apart before they are verified.
+LETTERS = "etaoinsr"
 #: Line hashes that are sent to all executors, at most; beyond that they are joined by a shuffle.
 BROADCAST_LINES = 400_000
 _LINES_OF_A_DOCUMENT = 1 << 31
@@ -45,6 +47,8 @@ def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
 def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     """Hashes of the substrings that can equal a segment of a line that is up to ``edits`` shorter; null where there is none.
 
+    Segments of the line itself are left out: those of lines of the same length meet among themselves.
+
     A segment with i segments before it may be moved by i edits counted from the left, and by as many as there are behind it
     counted from the right, since otherwise another segment is untouched.
     """
@@ -55,42 +59,80 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
             start, size = segment(other, i, edits)
             behind = edits - i
             for move in range(max(-i, shorter - behind), min(i, shorter + behind) + 1):
+                if shorter == 0 and move == 0:
+                    continue
                 fits = (start + move >= 0) & (start + move + size <= length) & (other > edits)
                 out.append(F.when(fits, _hash(other, i, F.substring(line, start + move + 1, size))))
     return out
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each of ``LETTERS`` occurs, eight bits for each."""
+    size, counts = F.octet_length(line), []
+    for k, letter in enumerate(LETTERS):
+        count = size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        counts.append(F.shiftleft((count % 256).cast("long"), 8 * k))
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.bitwiseOR(c)
+    return out
+
+
+def counts_within(a: Column, b: Column, edits: int) -> Column:
+    """Whether letter counts are as close as ``edits`` edits leave them: an edit changes two counts by one at most."""
+    total = F.lit(0)
+    for k in range(len(LETTERS)):
+        gap = F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255)))
+        total = total + F.least(gap, 256 - gap)
+    return total <= 2 * edits
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` in which ``name`` stands for ``value``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def within_edits(a: str, b: str, edits: int) -> Column:
     """Whether the texts in columns ``a`` and ``b`` are within ``edits`` edits.
 
-    Bit k of a word stands for row j - edits + k of column j of the distance table. A column's step takes a fixed number
-    of operations on words, whatever the width of the band; the distance is followed along the lowest diagonal of the band and then up the
-    last column.
+    Equal blocks at both ends are stripped first, which leaves the distance as it is. Then bit k of a word stands for
+    row j - edits + k of column j of the distance table. A column's step takes a fixed number of operations on words, whatever
+    the width of the band; the distance is followed along the lowest diagonal of the band and then up the last column.
     """
+    least = f"least(length({a}), length({b}))"
+    width = f"greatest(16, cast({least} / 16 as int))"
+    head = f"aggregate(sequence(0, 15), 0, (p, k) -> if(p = k * w and p + w <= {least} and substring({a}, p + 1, w) = substring({b}, p + 1, w), p + w, p))"
+    tail = (
+        f"aggregate(sequence(0, 15), 0, (q, k) -> if(q = k * w and p0 + q + w <= {least} and"
+        f" substring({a}, length({a}) - q - w + 1, w) = substring({b}, length({b}) - q - w + 1, w), q + w, q))"
+    )
+    middle = [f"substring({x}, p0 + 1, length({x}) - p0 - q0)" for x in (a, b)]
+    stripped = _let("x", middle[0], _let("y", middle[1], _banded("x", "y", edits)))
+    whole = _let("w", width, _let("p0", head, _let("q0", tail, stripped)))
+    return F.expr(f"case when {a} = {b} then true when abs(length({a}) - length({b})) > {edits} then false else {whole} end")
+
+
+def _banded(a: str, b: str, edits: int) -> str:
+    """SQL for the bit-parallel distance test of two texts."""
     width = 2 * edits + 2
     full, top = (1 << width) - 1, 1 << (width - 1)
     m, n = f"length({a})", f"length({b})"
     same = " + ".join(f"if(get(ca, j + {edits + 1 - width + k}) <=> get(cb, j) and j + {edits + 1 - width + k} >= 0, {1 << k}, 0)" for k in range(width))
     # one step: words d0, hp, hn from the vertical differences vp, vn
-    let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
-    d0 = f"((((x & s.vp) + s.vp) ^ s.vp) | x | s.vn) & {full}"
+    d0 = f"((((eq & s.vp) + s.vp) ^ s.vp) | eq | s.vn) & {full}"
     row = f"(j - ({m} - {edits}))"
     distance = (
         f"s.d + if({row} < 0, if((d0 & {top}) = 0, 1, 0),"
         f" if((hp & shiftright({top >> 1}, {row})) <> 0, 1, 0) - if((hn & shiftright({top >> 1}, {row})) <> 0, 1, 0))"
     )
     step = f"named_struct('vp', (hn | ~(shiftright(d0, 1) | hp)) & {full}, 'vn', shiftright(d0, 1) & hp, 'd', {distance})"
-    step = let("hn", "d0 & s.vp", step)
-    step = let("hp", f"(s.vn | ~(d0 | s.vp)) & {full}", step)
-    step = let("d0", d0, step)
-    step = let("x", same, step)
+    for name, value in (("hn", "d0 & s.vp"), ("hp", f"(s.vn | ~(d0 | s.vp)) & {full}"), ("d0", d0), ("eq", same)):
+        step = _let(name, value, step)
     start = f"named_struct('vp', {full ^ ((1 << (width - edits - 1)) - 1)}, 'vn', 0, 'd', {edits})"
+    # once even a descent along the rest of the last column leads to too great a distance, nothing more is looked at
     steps = f"aggregate(sequence(0, {n} - 1), {start}, (s, j) -> if(s.d > {2 * edits} + {n} - {m}, s, {step})).d <= {edits}"
-    walk = let("ca", f"split({a}, '')", let("cb", f"split({b}, '')", steps))
-    return F.expr(
-        f"case when {a} = {b} then true when abs({m} - {n}) > {edits} then false"
-        f" when {m} <= {edits} or {n} <= {edits} then levenshtein({a}, {b}) <= {edits} else {walk} end"
-    )
+    walk = _let("ca", f"split({a}, '')", _let("cb", f"split({b}, '')", steps))
+    return f"if({m} <= {edits} or {n} <= {edits}, levenshtein({a}, {b}) <= {edits}, {walk})"
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -111,9 +153,12 @@ def _edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     """Pairs of different lines (a1, a2, b1, b2: their hashes) within ``edits`` edits."""
     own = [c for c in distinct.columns if c.startswith("i_")]
     probes = [c for c in distinct.columns if c.startswith("p_")]
-    index = distinct.select(F.col("h1").alias("a"), F.explode(F.array(*own)).alias("key"))
-    probe = distinct.select(F.col("h1").alias("b"), F.explode(F.array(*probes)).alias("key")).where("key is not null")
-    pairs = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    index = distinct.select(F.col("h1").alias("a"), F.col("letters").alias("a_letters"), F.explode(F.array(*own)).alias("key"))
+    other = index.select(F.col("a").alias("b"), F.col("a_letters").alias("b_letters"), "key")
+    probe = distinct.select(F.col("h1").alias("b"), F.col("letters").alias("b_letters"), F.explode(F.array(*probes)).alias("key")).where("key is not null")
+    close = counts_within(F.col("a_letters"), F.col("b_letters"), edits)
+    same, longer = (index.join(side, (index["key"] == side["key"]) & on & close).select("a", "b") for side, on in ((other, F.col("a") < F.col("b")), (probe, F.col("a") != F.col("b"))))
+    pairs = same.union(longer.select(F.least("a", "b"), F.greatest("a", "b")))
     pairs = stage(pairs.distinct(), "line-candidates")
     wanted = stage(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "line-wanted")
     small = wanted.count() <= BROADCAST_LINES
@@ -138,6 +183,7 @@ def line_classes(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: in
     compared = lines.where(_compared(min_chars))
     keys = {f"i_{k}": c for k, c in enumerate(index_keys(F.col("line"), F.col("chars"), max_edits))}
     keys |= {f"p_{k}": c for k, c in enumerate(probe_keys(F.col("line"), F.col("chars"), max_edits))}
+    keys["letters"] = letter_counts(F.col("line"))
     distinct = compared.select("h1", "h2", "place", *(c.alias(k) for k, c in keys.items())).groupBy("h1", "h2")
     distinct = stage(distinct.agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("first"), *(F.max(k).alias(k) for k in keys)), "line-distinct")
     links = stage(_edit_links(compared, distinct, max_edits), "line-links")
