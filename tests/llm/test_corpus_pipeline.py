@@ -3,7 +3,7 @@
 import importlib.util
 
 import pytest
-from conftest import ODD
+from samples import ODD
 from pyspark.sql import functions as F
 
 from deedlink.llm import compression_quality as cq, containment, jaccard_join, line_dedup

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import ODD, prose
+from samples import ODD, prose
 from pyspark.sql import functions as F
 
 from deedlink.llm import components, containment, jaccard_join as jj, line_dedup as ld

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import regex
 import zstandard as zstd
-from conftest import ODD, prose
+from samples import ODD, prose
 from pyspark.sql import functions as F
 
 from deedlink.llm import byte_pairs, compression_quality as cq, isolation_rules as ir, licence_paragraphs as lp, secret_scan as ss
