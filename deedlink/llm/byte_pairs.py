@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from deedlink.llm.common import map_arrow, texts
 
-#: States, pairs and pieces that a worker remembers; each memory is emptied when full.
-REMEMBERED_STATES = 200_000
-REMEMBERED_PAIRS = 1_000_000
-REMEMBERED_PIECES = 300_000
+#: States that a worker remembers (about 2 KB each with the pieces and pairs that go with them); emptied when full.
+REMEMBERED_STATES = 100_000
+#: Pieces and pairs of tokens that are remembered for a state.
+PIECES_A_STATE, PAIRS_A_STATE = 2, 4
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -36,7 +36,8 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces of bytes by merge ranks."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], states: int = REMEMBERED_STATES):
+        self.most_states, self.most_pieces, self.most_pairs = states, states * PIECES_A_STATE, states * PAIRS_A_STATE
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the ranks lack single bytes: {missing[:5]}")
         self.ranks = ranks
@@ -85,7 +86,7 @@ class Transducer:
         """Whether merging both tokens' bytes gives them again: no merge over their border may come before the ones beside it."""
         known = self._pairs.get(left << 32 | right)
         if known is None:
-            if len(self._pairs) >= REMEMBERED_PAIRS:
+            if len(self._pairs) >= self.most_pairs:
                 self._pairs.clear()
             known, rank_of = True, self.ranks.get
             for a, used_a in self._edges(left)[1]:
@@ -136,7 +137,7 @@ class Transducer:
         return arc
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        if len(self._lives) > REMEMBERED_STATES:
+        if len(self._lives) > self.most_states:
             self._reset()
         state, out = 0, []
         for byte in piece:
@@ -156,7 +157,7 @@ class Transducer:
                 whole = self.ranks.get(data)
                 ids = (whole,) if whole is not None else tuple(self.encode_piece(data))
                 if len(data) <= 64:  # longer pieces hardly come back
-                    if len(known) >= REMEMBERED_PIECES:
+                    if len(known) >= self.most_pieces:
                         known.clear()
                     known[piece] = ids
             out += ids
@@ -218,32 +219,32 @@ class Utf8Machine:
             yield "�"
 
 
-_loaded: dict[int, tuple[Transducer, Utf8Machine]] = {}
+_loaded: dict[tuple[int, int], tuple[Transducer, Utf8Machine]] = {}
 
 
-def _loaded_once(ranks: dict[bytes, int], key: int) -> tuple[Transducer, Utf8Machine]:
+def _loaded_once(ranks: dict[bytes, int], key: int, states: int) -> tuple[Transducer, Utf8Machine]:
     """A worker keeps the transducer of the last vocabulary over its tasks."""
-    if key not in _loaded:
+    if (key, states) not in _loaded:
         _loaded.clear()
-        _loaded[key] = Transducer(ranks), Utf8Machine()
-    return _loaded[key]
+        _loaded[key, states] = Transducer(ranks, states), Utf8Machine()
+    return _loaded[key, states]
 
 
 #: Columns that can be asked for besides doc_id.
 COLUMNS = {"ids": "array<int>", "decoded": "string", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def tokens(documents: DataFrame, ranks: dict[bytes, int], pattern: str, columns: list[str]) -> DataFrame:
+def tokens(documents: DataFrame, ranks: dict[bytes, int], pattern: str, columns: list[str], states: int = REMEMBERED_STATES) -> DataFrame:
     """Per row of ``documents``: doc_id and ``columns`` of ids, decoded (text of the ids), n_tokens, ids_sha256 and decoded_sha256.
 
     Every match of ``pattern`` is encoded by itself and there are no special tokens. ids_sha256: of ids as little-endian 32-bit
     numbers; decoded_sha256: of the decoded text in UTF-8. Null texts count as empty, which have no ids; null
-    ids and repeated rows stay.
+    ids and repeated rows stay. ``states`` bounds what a worker remembers from task to task; fewer take longer.
     """
     slim = documents.select("doc_id", "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{c} {COLUMNS[c]}" for c in columns)
-    return map_arrow(slim, _runner(documents.sparkSession, ranks, pattern, columns), schema)
+    return map_arrow(slim, _runner(documents.sparkSession, ranks, pattern, columns, states), schema)
 
 
 def token_digests(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -251,13 +252,13 @@ def token_digests(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -
     return tokens(documents, ranks, pattern, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _runner(spark: SparkSession, ranks: dict[bytes, int], pattern: str, columns: list[str]):
+def _runner(spark: SparkSession, ranks: dict[bytes, int], pattern: str, columns: list[str], states: int):
     shared = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
     key = hash(tuple(sorted(ranks.items())))
     kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, machine = _loaded_once(shared.value, key)
+        coder, machine = _loaded_once(shared.value, key, states)
         find = regex.compile(pattern).findall
         gc.disable()  # what a worker remembers has no cycles; going through it again and again takes half the time
         for batch in batches:

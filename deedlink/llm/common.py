@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Words in a shingle.
 SHINGLE_WORDS = 5
 #: Words whose hash a worker remembers; the memory is emptied when full.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 100_000
 
 _word_hashes: dict[str, int] = {}
 
@@ -74,7 +74,12 @@ def ship_package(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # the worker lives on, beside those of other stages
+
+    return df.mapInArrow(run, schema)
 
 
 def texts(column: pa.Array) -> Iterator[str]:

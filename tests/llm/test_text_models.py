@@ -205,10 +205,8 @@ def reference(ranks):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_transducer_equals_the_library(ranks, reference, texts, monkeypatch):
-    monkeypatch.setattr(byte_pairs, "REMEMBERED_STATES", 3000)
-    monkeypatch.setattr(byte_pairs, "REMEMBERED_PIECES", 500)
-    coder, find = byte_pairs.Transducer(ranks), regex.compile(public_tokenizers.PATTERN).findall
+def test_transducer_equals_the_library(ranks, reference, texts):
+    coder, find = byte_pairs.Transducer(ranks, states=500), regex.compile(public_tokenizers.PATTERN).findall
     r = random.Random(4)
     cases = ["", " ", "a" * 5000, "日本語テキスト🙂🙂", "\x00\r\n\t  x", "don't  we'll 12345678901234567890", " " * 3000, "-" * 777, "=\n" * 50]
     cases += ["".join(r.choice("abcdetinorsh éü🙂.'0 \n-=\x1c ") for _ in range(r.randrange(60))) for _ in range(2000)]
