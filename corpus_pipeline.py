@@ -8,6 +8,9 @@ from deedlink.llm import byte_pairs, compression_quality, containment, jaccard_j
 from deedlink.llm.common import stage
 from deedlink.llm.queries import GOOD_SCORE, table, vocabulary
 
+#: States of the byte-pair transducer that a worker remembers: few, since the executors' heaps are full after the stages before.
+WORKER_STATES = 20_000
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good."""
@@ -33,7 +36,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of every document that is left, and the digests of its ids and of what they decode to."""
-    return byte_pairs.tokens(docs, *vocabulary(spark), ["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return byte_pairs.tokens(docs, *vocabulary(spark), ["ids", "n_tokens", "ids_sha256", "decoded_sha256"], states=WORKER_STATES)
 
 
 STAGES = [("quality", good), ("lines", lines), ("near_duplicates", distinct), ("decontamination", clean), ("byte_pairs", encoded)]
