@@ -20,6 +20,8 @@ MIN_CHARS = 20
 LETTERS = "etaoinsr"
 #: Line hashes that are sent to all executors, at most; beyond that they are joined by a shuffle.
 BROADCAST_LINES = 400_000
+#: Dropped lines whose places are sent to all executors, at most; beyond that the texts are shuffled to them.
+BROADCAST_DROPPED = 1_000_000
 _LINES_OF_A_DOCUMENT = 1 << 31
 
 
@@ -215,9 +217,11 @@ def without_repeated_lines(documents: DataFrame, max_edits: int = MAX_EDITS, min
     """
     dropped = line_classes(documents, max_edits, min_chars).where(~F.col("kept"))
     dropped = stage(dropped.groupBy("doc_id").agg(F.collect_set("line_no").alias("_dropped")), "line-dropped")
+    # a few bytes for each dropped line, so their number bounds what is sent to all executors
+    small = (dropped.agg(F.sum(F.size("_dropped"))).first()[0] or 0) <= BROADCAST_DROPPED
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_dropped", i)), "\n")
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left)
-    out = documents.join(dropped, "doc_id", "left").withColumn("text", text)
+    out = documents.join(F.broadcast(dropped) if small else dropped, "doc_id", "left").withColumn("text", text)
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
