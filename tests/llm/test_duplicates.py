@@ -201,7 +201,9 @@ def test_op8_equals_brute_force(spark, small, texts, queries):
             assert (r.class_id, r.n_links, r.kept) == (None, 0, True)
 
 
-def test_repeated_lines_are_taken_out(odd, empty):
+@pytest.mark.parametrize("bound", [-1, 1_000_000])
+def test_repeated_lines_are_taken_out(odd, empty, monkeypatch, bound):
+    monkeypatch.setattr(ld, "BROADCAST_DROPPED", bound)
     left = ld.without_repeated_lines(odd)
     assert left.columns == odd.columns and left.count() == odd.count()
     rows = {}
