@@ -123,6 +123,17 @@ def test_novelty_tells_keys_from_names(spark):
     assert not any(got[i] for i in (*range(100, 104), 200, 201))
 
 
+def test_secrets_behind_an_equals_sign(spark):
+    values = ["wJalrXUtnFEMI7K8MDENGbPxRfiCYz2Kq4Tn", "q8ZrT5mXv0LwPz3NcYb7HdKs", "Zk81vQpLx7RtWm2BnYc4Gd9s", "t7Gq2ZxW9Lm4Rb8Kv3Ny=="]
+    lines = ["AWS_SECRET_ACCESS_KEY={}", "SECRET_KEY={}", "private_key={}", "https://example.org/a?auth={}", "key_" + "index_" * 12 + "name={}", "a=b=secret_key={}"]
+    rows = [(n, line.format(values[n % 4]), values[n % 4]) for n, line in enumerate(lines)]
+    rows += [(90, f"color={values[1]}", None), (91, "auth_default_value=configuration_environment1", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    got = {x.doc_id: x.spans for x in ss.scan(df, ss.identifier_dictionary(df)).collect()}
+    for i, text, value in rows:
+        assert [(text[x.start : x.end], x.kind) for x in got[i]] == ([(value, "novel")] if value else []), text
+
+
 def test_secrets_of_odd_rows(odd, empty):
     dictionary = ss.identifier_dictionary(odd, odd)
     assert ss.scan(odd, dictionary).count() == len(ODD)
