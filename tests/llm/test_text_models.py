@@ -134,6 +134,24 @@ def test_secrets_behind_an_equals_sign(spark):
         assert [(text[x.start : x.end], x.kind) for x in got[i]] == ([(value, "novel")] if value else []), text
 
 
+def test_secrets_without_digits_and_short_ones(spark):
+    r = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    kinds = [(letters, 16), (letters, 20), (letters + "0123456789", 12), (letters + "0123456789", 15), (letters, 12)]
+    rows = [(100 * n + i, "".join(r.choice(a) for _ in range(length))) for n, (a, length) in enumerate(kinds) for i in range(50)]
+    names, words = [], ss.IDENTIFIERS.split()
+    for i in range(200):
+        name = r.choice(words)
+        while len(name) < 16:
+            name += "_" + r.choice(words)
+        names.append((1000 + i, name))
+    df = spark.createDataFrame([(i, f'let client auth header "{x}" for the session') for i, x in rows + names], "doc_id long, text string")
+    found = {x.doc_id for x in ss.scan(df, ss.identifier_dictionary(df.where("false"))).collect() if [s.kind for s in x.spans] == ["novel"]}
+    for n in range(len(kinds)):
+        assert sum(100 * n + i in found for i in range(50)) >= 45, kinds[n]
+    assert sum(i in found for i, _ in names) <= 20
+
+
 def test_secrets_of_odd_rows(odd, empty):
     dictionary = ss.identifier_dictionary(odd, odd)
     assert ss.scan(odd, dictionary).count() == len(ODD)
