@@ -3,7 +3,8 @@
 Equal lines are reduced to one first. If two lines are within t edits, then cutting the shorter into t + 1 segments leaves one
 segment untouched, and it lies in the longer line at a place that the edits before and behind it bound. So each line is indexed by
 its segments, and probes the indexes of its own and of shorter lengths with the few substrings that can match.
-Candidates are verified by a bit-parallel edit distance in a band of 2 t + 1 diagonals.
+Candidates are verified by a bit-parallel edit distance in a band of 2 t + 1 diagonals. Lines too short for that are linked only
+to equal ones.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from deedlink.llm.common import stage
 from deedlink.llm.components import components
 
 MAX_EDITS = 2
-#: Lines of fewer characters are neither compared nor dropped: a few edits turn them into quite different lines.
-MIN_CHARS = 20
+#: Lines of fewer characters are not compared: none.
+MIN_CHARS = 0
+#: Lines of fewer characters stay in texts, however often they occur: a few edits turn them into quite different lines.
+MIN_DROPPED_CHARS = 20
 #: Frequent letters whose counts tell most candidates apart before they are verified.
 LETTERS = "etaoinsr"
 #: Line hashes that are sent to all executors, at most; beyond that they are joined by a shuffle.
@@ -63,7 +66,7 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
             for move in range(max(-i, shorter - behind), min(i, shorter + behind) + 1):
                 if shorter == 0 and move == 0:
                     continue
-                fits = (start + move >= 0) & (start + move + size <= length) & (other > edits)
+                fits = (start + move >= 0) & (start + move + size <= length) & (other >= near_chars(edits))
                 out.append(F.when(fits, _hash(other, i, F.substring(line, start + move + 1, size))))
     return out
 
@@ -147,12 +150,18 @@ def _lines(documents: DataFrame) -> DataFrame:
     )
 
 
+def near_chars(edits: int) -> int:
+    """The least length of a line that is linked to lines that differ; shorter ones have little besides what may be edited."""
+    return 2 * edits + 2
+
+
 def _compared(min_chars: int) -> Column:
     return F.col("doc_id").isNotNull() & (F.col("chars") >= min_chars)
 
 
 def _edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     """Pairs of different lines (a1, a2, b1, b2: their hashes) within ``edits`` edits."""
+    distinct = distinct.where("letters is not null")  # they are null for lines that have only exact links
     own = [c for c in distinct.columns if c.startswith("i_")]
     probes = [c for c in distinct.columns if c.startswith("p_")]
     index = distinct.select(F.col("h1").alias("a"), F.col("letters").alias("a_letters"), F.explode(F.array(*own)).alias("key"))
@@ -174,18 +183,17 @@ def _edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
 def line_classes(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no (from 0), class_id, n_links, kept for every line of ``documents`` (doc_id, text); lines end at line feeds.
 
-    Two lines of ``min_chars`` characters or more are linked if they are equal or within ``max_edits`` edits. n_links: other lines linked
-    to this one. class_id: a hash that all lines reached over links share; null for shorter lines and for rows without an id, which are
+    Two lines are linked if they are equal, or if both have ``near_chars(max_edits)`` characters or more and are within ``max_edits`` edits.
+    n_links: other lines linked to this one. class_id: a hash that all lines reached over links share; null for lines of fewer than
+    ``min_chars`` characters and for rows without an id, which are
     not compared. kept: false unless the line is the first of its class by doc_id and line_no; rows that repeat an id
     count as the same document. Null texts count as empty, which is one blank line.
     """
-    if min_chars <= 2 * max_edits + 1:
-        raise ValueError("min_chars must exceed twice max_edits plus one")
     lines = _lines(documents)
     compared = lines.where(_compared(min_chars))
     keys = {f"i_{k}": c for k, c in enumerate(index_keys(F.col("line"), F.col("chars"), max_edits))}
     keys |= {f"p_{k}": c for k, c in enumerate(probe_keys(F.col("line"), F.col("chars"), max_edits))}
-    keys["letters"] = letter_counts(F.col("line"))
+    keys["letters"] = F.when(F.col("chars") >= near_chars(max_edits), letter_counts(F.col("line")))
     distinct = compared.select("h1", "h2", "place", *(c.alias(k) for k, c in keys.items())).groupBy("h1", "h2")
     distinct = stage(distinct.agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("first"), *(F.max(k).alias(k) for k in keys)), "line-distinct")
     links = stage(_edit_links(compared, distinct, max_edits), "line-links")
@@ -210,7 +218,7 @@ def line_classes(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: in
     )
 
 
-def without_repeated_lines(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeated_lines(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_DROPPED_CHARS) -> DataFrame:
     """``documents`` with the lines that ``line_classes`` doesn't keep taken out of text, and n_chars, if it is there, counted anew.
 
     All rows and columns stay; a document may become empty. Rows with a null id or text, and those without such lines, stay as they are.

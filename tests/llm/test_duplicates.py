@@ -181,6 +181,26 @@ def test_line_classes_equal_brute_force(spark, edits):
     assert any(n for n, _ in want.values())
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_short_lines_have_classes(spark, edits):
+    r = random.Random(edits)
+    bases = ["".join(r.choice("abcé ") for _ in range(r.randrange(1, 22))) for _ in range(12)] + ["", "Menu", "------", "Home | About"]
+    rows = [(i, "\n".join(edit(r, r.choice(bases), r.randrange(3)) for _ in range(r.randrange(8)))) for i in range(40)]
+    rows += [(50, "Menu\nMenu\nMenus\n\nHome | About"), (51, "Home | about\n")]
+    lines = [(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n"))]
+    near = lambda a, b: a == b or min(len(a), len(b)) >= ld.near_chars(edits) and distance(a, b) <= edits
+    links = {(i, k): sum(near(x, y) for *_, y in lines) - 1 for i, k, x in lines}
+    got = {(x.doc_id, x.line_no): x for x in ld.line_classes(spark.createDataFrame(rows, "doc_id long, text string"), edits).collect()}
+    assert {k: v.n_links for k, v in got.items()} == links
+    for i, k, x in lines:
+        for j, m, y in lines:
+            if near(x, y):
+                assert got[i, k].class_id == got[j, m].class_id is not None
+    assert (got[50, 0].class_id == got[50, 2].class_id) == (edits == 1)
+    left = {x.doc_id: x.text for x in ld.without_repeated_lines(spark.createDataFrame([(1, "Menu\nMenu"), (2, "Menu")], "doc_id long, text string"), edits).collect()}
+    assert left == {1: "Menu\nMenu", 2: "Menu"}
+
+
 def test_op8_equals_brute_force(spark, small, texts, queries):
     rows = queries["op8_line_dedup"](spark, small).collect()
     assert len(rows) == sum(t.count("\n") + 1 for t in texts.values())
