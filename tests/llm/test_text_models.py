@@ -224,6 +224,21 @@ def test_licences_with_other_wording(spark, documents, odd, empty):
     assert lp.fit(empty).weights
 
 
+def test_notices_among_prose_that_holds_their_words(spark):
+    held = [n for f in ("mit", "isc", "cc0", "unlicense") for n in lp.NOTICES[f]]
+    r, words = random.Random(8), sorted({w.strip(".,").lower() for n in held for w in n.split()} - {"license", "spdx-license-identifier:", "copyright"})
+    filler = "morning river garden window letter winter table market people street evening paper house story music".split()
+    prose = []
+    for i in range(600):
+        own = [w for k, w in enumerate(words) if (i + k) % 9 == 0]
+        prose.append(" ".join(x for w in own for x in (w, r.choice(filler), r.choice(filler))))
+    notices = [("mit", lp.NOTICES["mit"][3]), ("isc", lp.NOTICES["isc"][0]), ("cc0", "Released under CC0 1.0."), ("unlicense", lp.NOTICES["unlicense"][0])]
+    rows = [(i, p) for i, p in enumerate(prose)] + [(1000 + k, f"{prose[k]}\n{n}\n{prose[k + 1]}") for k, (_, n) in enumerate(notices * 10)]
+    got = {x.doc_id: x.families for x in lp.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[1000 + k] for k in range(40)] == [f for f, _ in notices * 10]
+    assert not any(got[i] for i in range(600))
+
+
 @pytest.fixture(scope="module")
 def ranks():
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
