@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deedlink.llm import byte_pairs, capture_index, compression_quality, containment, isolation_rules, jaccard_join, licence_paragraphs, line_dedup, secret_scan, shards
+from deedlink.llm import (
+    byte_pairs,
+    capture_index,
+    compression_quality,
+    containment,
+    conversation_repair,
+    isolation_rules,
+    jaccard_join,
+    licence_paragraphs,
+    line_dedup,
+    residue_negatives,
+    secret_scan,
+    shards,
+    trie_owners,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,3 +119,30 @@ def op9_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def op10_containment(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and test item that it contains."""
     return containment.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op11_trie_owners(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the row that stays of its group of equal texts."""
+    return trie_owners.owners(table(spark, folder, "documents"))
+
+
+SQL["op11_trie_owners"] = trie_owners.OWNERS_SQL
+
+
+@query
+def op12_residue_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its positives, some labels moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").withColumn("label", label)
+    return residue_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+SQL["op12_residue_negatives"] = residue_negatives.NEGATIVES_SQL
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every damaged conversation's faults and its cheapest repair."""
+    conversations = table(spark, folder, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(conversations), conversations)
