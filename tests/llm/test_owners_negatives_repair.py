@@ -192,24 +192,6 @@ def brute_repair(rows, convs):
         legal = {"su", "ua", "au"}
         illegal = sum(a[1][:1] + b[1][:1] not in legal for a, b in pairwise(mine))
 
-        @lru_cache(None)
-        def best(at, initials):
-            """Least (cost, audit, repaired rows) of the rows from ``at`` on; ``initials``: the last two given, which decide."""
-            options = []
-            if at == len(mine) and initials in ("", "ua"):
-                options.append((0, "", ()))
-            if at < len(mine):
-                _, role, text = mine[at]
-                cost, audit, rest = best(at + 1, initials)
-                options.append((4 + cost, "D" + audit, rest))
-                if faults[at] not in ("blank", "duplicate"):
-                    extra = 3 * (faults[at] == "truncated")
-                    for edit, price, name in (("K", 0, role), ("R", 3, "user"), ("R", 3, "assistant")):
-                        if (after := step(initials, name[:1])) is not None:
-                            cost, audit, rest = best(at + 1, after)
-                            options.append((price + extra + cost, edit + audit, (f"{name}:{text}", *rest)))
-            return min(options, default=(10**9, "", ()))
-
         @lru_cache(None)
         def inserted(at, initials, left):
             options = [plain(at, initials, left)]
