@@ -5,6 +5,8 @@ All of them combine on the map side, so a key that holds a large part of the row
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deedlink.functions.presence import present
@@ -145,55 +147,73 @@ def group_counts(df: DataFrame, column: str, missing: str = "UNKNOWN", out: str
     return df.groupBy(name.alias(column)).agg(F.count(F.lit(1)).alias(out))
 
 
-def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], bucket_width: float
-) -> DataFrame:
+#: Different values of one key, or of one part of a key's range, that one task puts in order.
+ORDERED_VALUES = 200_000
+#: Parts that a range with more values is cut into.
+RANGE_PARTS = 64
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], ordered: int = ORDERED_VALUES) -> DataFrame:
     """Exact interpolated percentiles per key, together with the number of values ``n``.
 
-    The built-in exact percentile holds every distinct value of a group in one task. Here equal values are counted
-    first and written out, since three steps read them; a histogram of buckets of ``bucket_width`` is ranked per key, and
-    only the buckets that hold a wanted rank are ordered by value.
+    Equal values are counted first. Where a key has more than ``ordered`` different values, its range is cut at approximate
+    quantiles of the values themselves (a mergeable summary), only the parts that hold a wanted rank go on, and these are cut
+    again until they are small enough to be put in order. So neither a hot key nor values that crowd in one place
+    make a task that holds them all.
     """
-    counted = cut_lineage(
-        df.filter(F.col(value).isNotNull())
-        .withColumn("__bucket", F.floor(F.col(value) / F.lit(bucket_width)))
-        .groupBy(*keys, "__bucket", value)
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (
-        counted.groupBy(*keys, "__bucket")
-        .agg(F.sum("__n").alias("__bn"))
-        .withColumns({"n": F.sum("__bn").over(whole), "__end": F.sum("__bn").over(upto)})
-        .withColumn("__start", F.col("__end") - F.col("__bn"))
-    )
-    ranks = [F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("n") - 1)).alias("rank")) for name, q in fractions.items()]
-    wanted = (
-        buckets.withColumn("__w", F.explode(F.array(*ranks)))
-        .withColumns({"__lo": F.floor("__w.rank"), "__hi": F.ceil("__w.rank")})
-        .filter((F.col("__lo") < F.col("__end")) & (F.col("__hi") >= F.col("__start")))
-        .select(*keys, "__bucket", "n", "__start", F.col("__w.name").alias("__name"), F.col("__w.rank").alias("__rank"), "__lo", "__hi")
-    )
-    touched = wanted.select(*keys, "__bucket", "__start").distinct()
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        counted.join(touched, [*keys, "__bucket"])
-        .withColumn("__to", F.col("__start") + F.sum("__n").over(inside))
-        .withColumn("__from", F.col("__to") - F.col("__n"))
-        .drop("__start")
-    )
-    hits = placed.join(wanted.drop("__start"), [*keys, "__bucket"]).filter(
-        (F.col("__lo") < F.col("__to")) & (F.col("__hi") >= F.col("__from"))
-    )
+    rows = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
+    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).head()[0] or 0
+    path: list[str] = []
+    if largest > ordered:
+        n = rows.groupBy(*keys).agg(F.sum("__c").alias("n"))
+        rows = _join_same(rows, n, keys).withColumn("__start", F.lit(0).cast("long"))
+    while largest > ordered:
+        rows, largest = _wanted_parts(rows, [*keys, *path], value, fractions, f"__part{len(path)}", ordered)
+        path.append(f"__part{len(path)}")
+    inside = Window.partitionBy(*keys, *path)
+    upto = inside.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.col("__start") if path else F.lit(0)
+    placed = rows.withColumns({"__to": start + F.sum("__c").over(upto), **({} if path else {"n": F.sum("__c").over(inside)})})
+    placed = placed.withColumn("__from", F.col("__to") - F.col("__c"))
+    reached = {name: _rank(q) for name, q in fractions.items()}
     covers = lambda rank: (F.col("__from") <= rank) & (rank < F.col("__to"))
-    points = hits.groupBy(*keys, "n", "__name", "__rank", "__lo").agg(
-        F.max(F.when(covers(F.col("__lo")), F.col(value))).alias("__vlo"),
-        F.max(F.when(covers(F.col("__hi")), F.col(value))).alias("__vhi"),
-    )
-    points = points.withColumn(
-        "__v", F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * (F.col("__rank") - F.col("__lo"))
-    )
-    return points.groupBy(*keys, "n").agg(
-        *[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in fractions]
-    )
+    ends = [F.max(F.when(covers(edge(rank)), F.col(value))).alias(f"__{name}_{k}") for name, rank in reached.items() for k, edge in enumerate((F.floor, F.ceil))]
+    points = placed.filter(_holds_rank(fractions, F.col("__from"), F.col("__to"))).groupBy(*keys, "n").agg(*ends)
+    between = {
+        name: F.col(f"__{name}_0") + (F.col(f"__{name}_1") - F.col(f"__{name}_0")) * (rank - F.floor(rank)) for name, rank in reached.items()
+    }
+    return points.select(*keys, "n", *[c.alias(name) for name, c in between.items()])
+
+
+def _rank(fraction: float) -> Column:
+    """Position from 0 of a percentile among ``n`` values."""
+    return F.lit(fraction) * (F.col("n") - 1)
+
+
+def _holds_rank(fractions: dict[str, float], start: Column, end: Column) -> Column:
+    """Positions from ``start`` up to, not with, ``end`` include one that a percentile needs."""
+    tests = [(start <= edge(_rank(q))) & (edge(_rank(q)) < end) for q in fractions.values() for edge in (F.floor, F.ceil)]
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _join_same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, where null equals null; the keys of the left side stay."""
+    renamed = right.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(keys)], F.lit(True))
+    return left.join(renamed, on).drop(*[f"__r{i}" for i in range(len(keys))])
+
+
+def _wanted_parts(rows: DataFrame, keys: list[str], value: str, fractions: dict[str, float], part: str, ordered: int) -> tuple[DataFrame, int]:
+    """``rows`` of the parts that hold a wanted rank, with the number of the part, and the values of the fullest part."""
+    cuts = [i / RANGE_PARTS for i in range(1, RANGE_PARTS)]
+    summary = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"), F.percentile_approx(value, cuts, RANGE_PARTS * 100).alias("__cuts"))
+    full = F.col("__m") > ordered
+    summary = summary.select(*keys, F.when(full, F.array_distinct("__cuts")).otherwise(F.slice("__cuts", 1, 0)).alias("__cuts"))
+    dealt = _join_same(rows, summary, keys).withColumn(part, F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    parts = dealt.groupBy(*keys, part).agg(F.sum("__c").alias("__s"), F.count(F.lit(1)).alias("__m"), F.min("n").alias("n"), F.min("__start").alias("__start"))
+    # at most RANGE_PARTS rows of a key meet here
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__start", F.col("__start") + F.coalesce(F.sum("__s").over(before), F.lit(0)))
+    parts = cut_lineage(parts.filter(_holds_rank(fractions, F.col("__start"), F.col("__start") + F.col("__s"))))
+    kept = _join_same(dealt.drop("__start"), parts.select(*keys, part, "__start"), [*keys, part])
+    return cut_lineage(kept), parts.agg(F.max("__m")).head()[0]

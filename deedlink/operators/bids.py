@@ -43,8 +43,6 @@ class BidModel:
     widest_spread: float = 0.2
     high_confidence: int = 70
     medium_confidence: int = 45
-    #: histogram step of the percentile search
-    bucket_width: float = 0.0001
 
 
 def eligible_listings(df: DataFrame) -> DataFrame:
@@ -99,7 +97,7 @@ def tier_spreads(comps: DataFrame, tiers: list[list[str]], ratio: str, model: Bi
     All tiers come out of one pass over the sales.
     """
     shares = {"low": model.low_share, "mid": model.strategies[model.strategy], "high": model.high_share}
-    spreads = exact_percentiles(_by_tier(comps, tiers), ["tier_number", "tier_key"], ratio, shares, model.bucket_width)
+    spreads = exact_percentiles(_by_tier(comps, tiers), ["tier_number", "tier_key"], ratio, shares)
     return spreads.filter(F.col("n") >= model.min_comps)
 
 

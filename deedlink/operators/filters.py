@@ -133,17 +133,48 @@ def apply_filters(df: DataFrame, filters: dict[str, object] | None = None) -> Da
     return df.filter(conjunction(DEFAULT_FILTERS if filters is None else filters))
 
 
+def cross_filter(df: DataFrame, facets: dict[str, tuple[Column, Column]], sums: dict[str, Column] | None = None) -> DataFrame:
+    """Rows per facet and value, each facet counted under the filters of all *other* facets.
+
+    ``facets`` gives a facet's value and its filter. A row is marked with the filters it fails (null fails): one that
+    fails none counts for every facet and for the facet ``ALL_FACETS``, one that fails a single filter counts for that facet,
+    so that its unselected values keep their figures; others count nowhere. One scan, one exchange, and a row is sent on
+    only where it counts. ``sums`` are added up beside the rows. Returns ``facet``, ``value`` (text), ``rows`` and the sums.
+    """
+    fails = [F.when(F.coalesce(passes, F.lit(False)), 0).otherwise(1) for _, passes in facets.values()]
+    own = [F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value")) for name, (value, _) in facets.items()]
+    whole = F.struct(F.lit(ALL_FACETS).alias("facet"), F.lit(None).cast("string").alias("value"))
+    number = reduce(lambda a, b: a + b, fails, F.lit(0))
+    place = reduce(lambda a, b: a + b, [f * i for i, f in enumerate(fails, 1)], F.lit(0))
+    added = {f"__sum{i}": c for i, c in enumerate((sums or {}).values())}
+    marked = df.select(number.alias("__fails"), place.alias("__place"), F.array(*own).alias("__own"), *[c.alias(n) for n, c in added.items()])
+    counted_for = F.when(F.col("__fails") == 0, F.concat("__own", F.array(whole))).otherwise(F.slice("__own", F.col("__place"), F.lit(1)))
+    entries = marked.filter(F.col("__fails") <= 1).select(F.explode(counted_for).alias("__entry"), *added)
+    return entries.groupBy("__entry.facet", "__entry.value").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(n).alias(out) for n, out in zip(added, sums or {})]
+    )
+
+
+#: Facet of the rows that pass every filter: the key figures and the list of records.
+ALL_FACETS = "all"
+
+
+def cross_filtered_rows(df: DataFrame, facets: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """The records that pass the filters of all facets."""
+    return df.filter(reduce(lambda a, b: a & b, [passes for _, passes in facets.values()], F.lit(True)))
+
+
 def is_special_sale(bank_owned: Column | str = "mlsBankOwned", approval: Column | str = "mlsThirdPartyApprovalRequired") -> Column:
     """Bank-owned, or a third party has to approve (own choice: any approval text but ``None``)."""
     return (null_to_blank(bank_owned) == "true") | ~null_to_blank(approval).isin("", "None")
 
 
-def key_figures(df: DataFrame, keys: list[str], price: str, sums: list[str] | None = None, bucket_width: float = 1000.0) -> DataFrame:
+def key_figures(df: DataFrame, keys: list[str], price: str, sums: list[str] | None = None) -> DataFrame:
     """Count, exact median and quartiles, least and largest price per group, plus sums of whole-number columns."""
     if not keys:
-        one = key_figures(df.withColumn("__all", F.lit(0)), ["__all"], price, sums, bucket_width)
+        one = key_figures(df.withColumn("__all", F.lit(0)), ["__all"], price, sums)
         return one.drop("__all")
-    spread = exact_percentiles(df, keys, price, {"p25": 0.25, "median": 0.5, "p75": 0.75}, bucket_width)
+    spread = exact_percentiles(df, keys, price, {"p25": 0.25, "median": 0.5, "p75": 0.75})
     plain = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.min(price).alias("least"),

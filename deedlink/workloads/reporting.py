@@ -89,7 +89,7 @@ def geo_ratio_buckets(spark, sf):
 def kpi_summary(spark, sf):
     lines = table(spark, sf, "lineitem").filter(f.conjunction({"l_quantity": (5, 45), "l_linenumber": [1, 2, 3]}))
     typed = lines.select("l_returnflag", "l_linestatus", cents("l_extendedprice").alias("price"), F.col("l_quantity").cast("long").alias("quantity"))
-    return f.key_figures(typed, ["l_returnflag", "l_linestatus"], "price", ["quantity"], bucket_width=100_000.0)
+    return f.key_figures(typed, ["l_returnflag", "l_linestatus"], "price", ["quantity"])
 
 
 @workload("""

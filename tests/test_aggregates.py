@@ -63,13 +63,24 @@ def test_exact_percentiles(spark):
     rows = [("hot", round(rnd.gauss(1, 0.05), rnd.choice([2, 6]))) for _ in range(1500)] + [("few", v) for v in (1.0, 1.0, 3.5)] + [("one", 2.25), ("neg", -1.5), ("neg", 4.0)]
     df = spark.createDataFrame(rows, "k string, v double")
     q = {"p25": 0.25, "p50": 0.5, "p90": 0.9, "top": 1.0}
-    for width in (0.001, 0.1, 100.0):
-        got = {r.k: r for r in a.exact_percentiles(df, ["k"], "v", q, width).collect()}
+    for ordered in (200_000, 200, 5):
+        got = {r.k: r for r in a.exact_percentiles(df, ["k"], "v", q, ordered).collect()}
         for k in ("hot", "few", "one", "neg"):
             values = [v for key, v in rows if key == k]
             assert got[k].n == len(values)
             for name, share in q.items():
-                assert got[k][name] == pytest.approx(np.quantile(values, share)), (k, name, width)
+                assert got[k][name] == pytest.approx(np.quantile(values, share)), (k, name, ordered)
+
+
+def test_exact_percentiles_of_values_that_crowd_in_one_place(spark):
+    # all values but two lie within a millionth of the range
+    rows = [("k", -1e9), ("k", 1e9)] + [("k", 5 + i * 1e-7) for i in range(3000)] + [(None, float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in a.exact_percentiles(df, ["k"], "v", {"m": 0.5, "p": 0.913}, 40).collect()}
+    for k in ("k", None):
+        values = [v for key, v in rows if key == k]
+        assert got[k].n == len(values)
+        assert (got[k].m, got[k].p) == (pytest.approx(np.quantile(values, 0.5), rel=1e-12), pytest.approx(np.quantile(values, 0.913), rel=1e-12))
 
 
 def test_positions(spark):
