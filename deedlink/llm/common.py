@@ -43,15 +43,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def smallest(df: DataFrame, order: Column, rows: int, total: int) -> DataFrame:
+def smallest(df: DataFrame, order: Column, rows: int, total: int, distinct: bool = False) -> DataFrame:
     """At most ``rows`` rows of ``df``, those with the least 64-bit hash ``order``; ``total``: a lower bound for its rows.
+    ``distinct``: equal rows count once.
 
     Where there are many rows, all but the hashes that can be among the least are left out first, so that what is
     sorted does not grow with the number of partitions.
     """
     if total > 32 * rows:
         df = df.where(order <= F.lit(-(1 << 63) + int((1 << 64) * 8 * rows / total)))
-    return df.orderBy(order, *df.columns).limit(rows)
+    return (df.distinct() if distinct else df).orderBy(order, *df.columns).limit(rows)
 
 
 def ship_package(spark: SparkSession) -> None:

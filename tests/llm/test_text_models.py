@@ -296,3 +296,71 @@ def test_tokens_of_odd_rows(odd, empty, ranks, reference):
 
 def test_prose_has_few_repeats():
     assert len(set(prose(1).split())) > 60
+
+
+def plain_licences(text, model):
+    """families, n_confirmed, n_unconfirmed, n_unknown of a text by the model's own weights."""
+
+    def words(t):
+        return [w for w in re.sub(r"[^a-z0-9.+]+|\.+(?=[^a-z0-9]|$)", " ", t.lower()).split(" ") if w]
+
+    def grams(w, least=1):
+        return {" ".join(w[i : i + n]) for n in range(least, lp.GRAM + 1) for i in range(len(w) - n + 1)}
+
+    weights = {}
+    for g, c, w in model.weights:
+        weights.setdefault(g, []).append((c, w))
+
+    def judge(w):
+        own = grams(w)
+        logits = dict(zip(model.classes, model.intercepts))
+        for g in own:
+            for c, x in weights.get(g, ()):
+                logits[c] += x
+        top = max(logits.values())
+        total = sum(np.exp(z - top) for z in logits.values())
+        family = max(model.classes[1:], key=lambda c: logits[c])
+        if np.exp(logits[family] - top) / total < model.threshold:
+            return lp.UNKNOWN, False
+        alike = max(len(own & grams(words(n))) / min(len(own), len(grams(words(n)))) for n in lp.NOTICES[family])
+        return family, alike >= lp.CONFIRMED
+
+    families, confirmed, unconfirmed, unknown = set(), 0, 0, 0
+    for paragraph in re.split(r"\n[\x20\t\x0B\f\r]*\n", text):
+        lines = paragraph.split("\n")
+        spoken = [i for i, x in enumerate(lines) if grams(words(x), 2) & set(model.gates)]
+        found = [judge(words(lines[i])) for i in spoken]
+        families |= {f for f, ok in found if ok}
+        confirmed += sum(ok for _, ok in found)
+        unconfirmed += sum(f != lp.UNKNOWN and not ok for f, ok in found)
+        unknown += sum(f == lp.UNKNOWN for f, _ in found)
+        if len(spoken) > 1:
+            family, ok = judge(words(" ".join(lines[spoken[0] : spoken[-1] + 1])))
+            if ok:
+                families.add(family)
+                confirmed += not any(x for _, x in found)
+    return ",".join(sorted(families)), confirmed, unconfirmed, unknown
+
+
+def test_licences_equal_plain_scores(spark, small, documents, texts):
+    model = lp.fit(documents)
+    r, rows = random.Random(12), []
+    for i, (family, notices) in enumerate(lp.NOTICES.items()):
+        for k, n in enumerate(notices):
+            cut = n.split(" ")
+            wrapped = "\n".join(" ".join(cut[a : a + 7]) for a in range(0, len(cut), 7))
+            rows.append((10 * i + k, f"{prose(i, 12)}\n\n{wrapped}\n \n{prose(k, 9)} license"))
+            rows.append((1000 + 10 * i + k, " ".join(cut[r.randrange(2) :][: r.randrange(3, 30)])))
+    rows += [(2000 + i, t) for i, t in texts.items()]
+    got = {x.doc_id: (x.families, x.n_confirmed, x.n_unconfirmed, x.n_unknown) for x in lp.licences(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {i: plain_licences(t, model) for i, t in rows}
+    # wrapped notices of some length are found
+    long = [(10 * i + k, f) for i, (f, own) in enumerate(lp.NOTICES.items()) for k, n in enumerate(own) if len(n.split()) > 14]
+    assert sum(f in got[i][0].split(",") for i, f in long) >= 0.9 * len(long)
+
+
+def test_copies_of_a_line_fill_no_sample(spark):
+    lines = [(i, f"the very same line of every document there is\n{prose(i, 12)}") for i in range(300)]
+    df = spark.createDataFrame(lines, "doc_id long, text string")
+    rows = df.select(F.explode(F.split("text", "\n")).alias("line"))
+    assert lp.smallest(rows, F.xxhash64("line"), 100, 300, distinct=True).distinct().count() == 100
