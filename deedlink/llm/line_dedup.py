@@ -3,13 +3,17 @@
 Equal lines are reduced to one first. If two lines are within t edits, then cutting the shorter into t + 1 segments leaves one
 segment untouched, and it lies in the longer line at a place that the edits before and behind it bound. So each line is indexed by
 its segments, and probes the indexes of its own and of shorter lengths with the few substrings that can match.
+A segment that many lines share (a prefix of addresses, the frame of a table) says little: its lines are cut again without it,
+since what is left of two such lines is within t edits too, and so on until few lines share a segment or hardly anything is left.
 Candidates are verified by a bit-parallel edit distance in a band of 2 t + 1 diagonals. Lines too short for that are linked only
 to equal ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from deedlink.llm.common import stage
 from deedlink.llm.components import components
@@ -17,8 +21,11 @@ from deedlink.llm.components import components
 MAX_EDITS = 2
 #: Lines of fewer characters are not compared: none.
 MIN_CHARS = 0
-#: Lines of fewer characters stay in texts, however often they occur: a few edits turn them into quite different lines.
+#: Lines of fewer characters stay in texts, however often they occur: a few edits turn them into quite different lines, and
+#: equal ones are menus, brackets and table cells. A parameter of ``without_repeated_lines``; its effect is in the README.
 MIN_DROPPED_CHARS = 20
+#: Lines that may share a segment before they are told apart by what is left of them.
+SHARED_LINES = 200
 #: Frequent letters whose counts tell most candidates apart before they are verified.
 LETTERS = "etaoinsr"
 #: Line hashes that are sent to all executors, at most; beyond that they are joined by a shuffle.
@@ -36,38 +43,44 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start, base + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
 
 
-def _hash(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), text)
+def _hash(length: Column, i: int, text: Column, *more: Column) -> Column:
+    return F.xxhash64(length.cast("int"), F.lit(i), text, *more)
 
 
 def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
     """A hash of length, number and text of each segment."""
-    out = []
-    for i in range(edits + 1):
-        start, size = segment(length, i, edits)
-        out.append(_hash(length, i, F.substring(line, start + 1, size)))
-    return out
+    return [key for key, _, _ in _index(line, length, edits)]
+
+
+def _index(line: Column, length: Column, edits: int, *more: Column) -> list[tuple[Column, Column, Column]]:
+    """Key, start (from 0) and length of each segment; ``more`` goes into the key."""
+    cuts = [segment(length, i, edits) for i in range(edits + 1)]
+    return [(_hash(length, i, F.substring(line, start + 1, size), *more), start, size) for i, (start, size) in enumerate(cuts)]
 
 
 def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     """Hashes of the substrings that can equal a segment of a line that is up to ``edits`` shorter; null where there is none.
 
     Segments of the line itself are left out: those of lines of the same length meet among themselves.
+    """
+    found = [_probe(line, length, edits, shorter) for shorter in range(edits + 1)]
+    return [F.when(length - shorter >= near_chars(edits), key) for shorter, keys in enumerate(found) for key, _, _, same in keys if not same]
+
+
+def _probe(line: Column, length: Column, edits: int, shorter: int, *more: Column) -> list[tuple[Column, Column, Column, bool]]:
+    """Key, start, length of the substrings that can equal a segment of a line that is ``shorter`` by so many characters.
 
     A segment with i segments before it may be moved by i edits counted from the left, and by as many as there are behind it
-    counted from the right, since otherwise another segment is untouched.
+    counted from the right, since otherwise another segment is untouched. The last entry tells the line's own segments.
     """
-    out = []
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for i in range(edits + 1):
-            start, size = segment(other, i, edits)
-            behind = edits - i
-            for move in range(max(-i, shorter - behind), min(i, shorter + behind) + 1):
-                if shorter == 0 and move == 0:
-                    continue
-                fits = (start + move >= 0) & (start + move + size <= length) & (other >= near_chars(edits))
-                out.append(F.when(fits, _hash(other, i, F.substring(line, start + move + 1, size))))
+    out, other = [], length - shorter
+    for i in range(edits + 1):
+        start, size = segment(other, i, edits)
+        behind = edits - i
+        for move in range(max(-i, shorter - behind), min(i, shorter + behind) + 1):
+            fits = (start + move >= 0) & (start + move + size <= length)
+            key = F.when(fits, _hash(other, i, F.substring(line, start + move + 1, size), *more))
+            out.append((key, start + move, size, shorter == 0 and move == 0))
     return out
 
 
@@ -143,10 +156,14 @@ def _banded(a: str, b: str, edits: int) -> str:
 def _lines(documents: DataFrame) -> DataFrame:
     """doc_id, line_no, line, chars, h1, h2 (128 bits that stand for a line), place (order of lines over all documents)."""
     rows = documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(_LINES_OF_A_DOCUMENT).cast("decimal(12,0)") + F.col("line_no")
+    if isinstance(documents.schema["doc_id"].dataType, T.IntegralType):
+        place = F.col("doc_id").cast("decimal(38,0)") * F.lit(_LINES_OF_A_DOCUMENT).cast("decimal(12,0)") + F.col("line_no")
+        place = place.cast("decimal(38,0)")
+    else:
+        place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "line_no"))
     return rows.select(
         "doc_id", "line_no", "line", F.length("line").alias("chars"), F.xxhash64("line").alias("h1"),
-        F.xxhash64(F.lit(1), "line").alias("h2"), place.cast("decimal(38,0)").alias("place"),
+        F.xxhash64(F.lit(1), "line").alias("h2"), place.alias("place"),
     )
 
 
@@ -164,30 +181,146 @@ def _edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     distinct = distinct.where("letters is not null")  # they are null for lines that have only exact links
     own = [c for c in distinct.columns if c.startswith("i_")]
     probes = [c for c in distinct.columns if c.startswith("p_")]
-    index = distinct.select(F.col("h1").alias("a"), F.col("letters").alias("a_letters"), F.explode(F.array(*own)).alias("key"))
-    other = index.select(F.col("a").alias("b"), F.col("a_letters").alias("b_letters"), "key")
-    probe = distinct.select(F.col("h1").alias("b"), F.col("letters").alias("b_letters"), F.explode(F.array(*probes)).alias("key")).where("key is not null")
-    close = counts_within(F.col("a_letters"), F.col("b_letters"), edits)
-    same, longer = (index.join(side, (index["key"] == side["key"]) & on & close).select("a", "b") for side, on in ((other, F.col("a") < F.col("b")), (probe, F.col("a") != F.col("b"))))
-    pairs = same.union(longer.select(F.least("a", "b"), F.greatest("a", "b")))
+    index = distinct.select("h1", "letters", F.explode(F.array(*own)).alias("key"))
+    probe = distinct.select("h1", "letters", F.explode(F.array(*probes)).alias("key")).where("key is not null")
+    often = _often(index)
+    if often is None:
+        pairs = _meet(index, probe, edits)
+    else:
+        pairs = _meet(_other(index, often), _other(probe, often), edits)
+        pairs = reduce(DataFrame.union, [pairs, *_pairs_of_often(lines, index, probe, often, edits)])
     pairs = stage(pairs.distinct(), "line-candidates")
-    wanted = stage(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "line-wanted")
-    small = wanted.count() <= BROADCAST_LINES
-    held = lines.select("h1", "h2", "line").join(F.broadcast(wanted) if small else wanted, "h1", "left_semi")
-    held = stage(held.groupBy("h1", "h2").agg(F.first("line").alias("line")), "line-texts")
+    held = _texts(lines, pairs.select(F.col("a").alias("h1")).union(pairs.select("b")))
     left, right = (held.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}_line")) for x in "ab")
     met = pairs.join(left, "a").join(right, "b")
     return met.where(within_edits("a_line", "b_line", edits)).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
 
 
+def _texts(lines: DataFrame, hashes: DataFrame) -> DataFrame:
+    """h1, h2, line of the different lines with one of the first ``hashes``."""
+    wanted = stage(hashes.distinct(), "line-wanted")
+    small = wanted.count() <= BROADCAST_LINES
+    held = lines.select("h1", "h2", "line").join(F.broadcast(wanted) if small else wanted, "h1", "left_semi")
+    return stage(held.groupBy("h1", "h2").agg(F.first("line").alias("line")), "line-texts")
+
+
+def _often(index: DataFrame) -> DataFrame | None:
+    """Keys that more than ``SHARED_LINES`` indexed lines share; None without any."""
+    found = stage(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARED_LINES).select("key"), "line-often")
+    return None if found.isEmpty() else found
+
+
+def _other(rows: DataFrame, often: DataFrame) -> DataFrame:
+    return rows.join(often, "key", "left_anti")
+
+
+def _meet(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
+    """Pairs a < b of lines that share a key: two of the index, or one of the index and a probe."""
+    a = index.select(F.col("h1").alias("a"), F.col("letters").alias("a_letters"), "key")
+    sides = ((index, F.col("a") < F.col("b")), (probe, F.col("a") != F.col("b")))
+    close = counts_within(F.col("a_letters"), F.col("b_letters"), edits)
+    same, longer = (
+        a.join(b, (a["key"] == b["key"]) & on & close).select("a", "b")
+        for b, on in ((side.select(F.col("h1").alias("b"), F.col("letters").alias("b_letters"), "key"), on) for side, on in sides)
+    )
+    return same.union(longer.select(F.least("a", "b"), F.greatest("a", "b")))
+
+
+def _pairs_of_often(lines: DataFrame, index: DataFrame, probe: DataFrame, often: DataFrame, edits: int) -> list[DataFrame]:
+    """Pairs of the lines that share a key with many, by what is left of them without the shared segment.
+
+    Two lines within some edits that agree in a segment are within these edits in what stands before and behind it together.
+    So a key's lines are cut again without the segment, and keys that are still shared by many once more; what is left loses
+    at least a third each time. When less than ``near_chars`` is left, lines meet in what remains of them after deletions.
+    """
+    hashes = index.join(often, "key", "left_semi").select("h1").union(probe.join(often, "key", "left_semi").select("h1"))
+    line, chars = F.col("line"), F.length("line")
+    cuts = [_cut(key, start, size, False, chars) for key, start, size in _index(line, chars, edits)]
+    for shorter in range(edits + 1):
+        fits = chars - shorter >= near_chars(edits)
+        cuts += [_cut(F.when(fits, key), start, size, True, chars - shorter) for key, start, size, same in _probe(line, chars, edits, shorter) if not same]
+    found = []
+    rows = _left(_texts(lines, hashes).select("h1", letter_counts(line).alias("letters"), line), cuts, often)
+    while True:
+        rows = stage(rows, "line-rests")
+        if rows.isEmpty():
+            return found
+        short = rows.where(F.col("indexed") < near_chars(edits))
+        variants = short.select("h1", "letters", "probing", F.explode(_deletions(edits)).alias("variant"), "group")
+        variants = variants.select("h1", "letters", "probing", F.xxhash64("group", "variant").alias("key"))
+        found.append(_meet(variants.where("not probing"), variants.where("probing"), edits))
+        # the others are cut: rows of the index into segments, and all into the substrings that may equal one
+        line, chars, group = F.col("line"), F.length("line"), F.col("group")
+        own = [_cut(F.when(~F.col("probing"), key), start, size, False, chars) for key, start, size in _index(line, chars, edits, group)]
+        other = []
+        for shorter in range(edits + 1):
+            fits = F.col("indexed") == chars - shorter
+            for key, start, size, same in _probe(line, chars, edits, shorter, group):
+                # rows of the index have met in their own segments
+                other.append(_cut(F.when(fits & (F.col("probing") if same else F.lit(True)), key), start, size, True, chars - shorter))
+        longer = rows.where(F.col("indexed") >= near_chars(edits))
+        keyed = lambda cuts: longer.select("h1", "letters", F.explode(F.array(*[c["key"] for c in cuts])).alias("key")).where("key is not null")
+        index, probe = keyed(own), keyed(other)
+        often = _often(index)
+        if often is None:
+            return [*found, _meet(index, probe, edits)]
+        found.append(_meet(_other(index, often), _other(probe, often), edits))
+        rows = _left(longer.select("h1", "letters", "group", "probing", "indexed", "line"), [*own, *other], often)
+
+
+def _cut(key: Column, start: Column, size: Column, probing: bool, indexed: Column) -> Column:
+    """A key with its segment and the length of the indexed line that it belongs to."""
+    return F.struct(key.alias("key"), start.alias("start"), size.alias("size"), F.lit(probing).alias("probe"), (indexed - size).alias("rest"))
+
+
+def _left(rows: DataFrame, cuts: list[Column], often: DataFrame) -> DataFrame:
+    """For each of the ``often`` keys of a line: what is left without the segment. ``indexed``: what is left of indexed lines."""
+    keyed = rows.select("h1", "letters", "line", F.inline(F.array(*cuts))).where("key is not null").join(often, "key", "left_semi")
+    rest = F.expr("concat(substring(line, 1, start), substring(line, start + size + 1, length(line)))")
+    return keyed.select("h1", "letters", F.col("key").alias("group"), F.col("probe").alias("probing"), F.col("rest").alias("indexed"), rest.alias("line")).distinct()
+
+
+def _deletions(edits: int) -> Column:
+    """What is left of a short line after up to ``edits`` deletions; two lines within these edits have one in common."""
+    found = F.array("line")
+    for _ in range(edits):
+        one = F.transform(found, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))
+        found = F.array_distinct(F.concat(found, F.flatten(one)))
+    return found
+
+
+def _dropped(links: DataFrame, places: DataFrame) -> DataFrame:
+    """h1, h2 of the lines that go: those with a link to an earlier line that stays.
+
+    ``places``: h1, h2, first. A line without an earlier linked line that is still undecided stays, and the lines linked to it
+    go; this is repeated on what is left, so that the result is that of going through the lines in their order.
+    """
+    own, other = (places.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.struct("first", "h1", "h2").alias(f"{x}_at")) for x in "ab")
+    placed = links.join(own, ["a1", "a2"]).join(other, ["b1", "b2"])
+    ahead = F.col("a_at") < F.col("b_at")
+    name = lambda x: F.concat_ws(":", f"{x}1", f"{x}2")
+    open_ = placed.select(F.when(ahead, name("a")).otherwise(name("b")).alias("a"), F.when(ahead, name("b")).otherwise(name("a")).alias("b"))
+    open_, gone = stage(open_, "line-order"), []
+    while not open_.isEmpty():
+        stays = open_.join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone.append(stage(stays.select("b").distinct(), "line-gone"))
+        left = open_.join(gone[-1], "b", "left_anti")
+        open_ = stage(left.join(gone[-1].select(F.col("b").alias("a")), "a", "left_anti"), "line-order")
+    if not gone:
+        return places.where("false").select("h1", "h2")
+    parts = F.split("b", ":")
+    return reduce(DataFrame.union, gone).select(parts[0].cast("long").alias("h1"), parts[1].cast("long").alias("h2"))
+
+
 def line_classes(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no (from 0), class_id, n_links, kept for every line of ``documents`` (doc_id, text); lines end at line feeds.
 
     Two lines are linked if they are equal, or if both have ``near_chars(max_edits)`` characters or more and are within ``max_edits`` edits.
     n_links: other lines linked to this one. class_id: a hash that all lines reached over links share; null for lines of fewer than
     ``min_chars`` characters and for rows without an id, which are
-    not compared. kept: false unless the line is the first of its class by doc_id and line_no; rows that repeat an id
-    count as the same document. Null texts count as empty, which is one blank line.
+    not compared. kept: false if an equal line, or a line linked to this one, stands before it by doc_id and line_no and is
+    kept itself; so a line goes only where one within ``max_edits`` edits stays. Rows that repeat an id
+    count as the same document. Ids are of any type that has an order. Null texts count as empty, which is one blank line.
     """
     lines = _lines(documents)
     compared = lines.where(_compared(min_chars))
@@ -206,15 +339,16 @@ def line_classes(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: in
     several = times.withColumn("node", F.concat_ws(":", "h1", "h2")).join(roots, "node", "left").join(near, ["h1", "h2"], "left")
     several = several.where("times > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
     several = stage(several.select("h1", "h2", "root", "first", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "line-several")
-    firsts = several.groupBy("root").agg(F.min("first").alias("class_first"))
-    known = several.join(firsts, "root").select("h1", "h2", F.xxhash64("root").alias("class"), "n_links", "class_first")
+    gone = _dropped(links, times).withColumn("gone", F.lit(True))
+    known = several.join(gone, ["h1", "h2"], "left")
+    known = known.select("h1", "h2", F.xxhash64("root").alias("class"), "n_links", F.when(F.col("gone").isNull(), F.col("first")).alias("stays"), F.lit(True).alias("several"))
     slim = lines.select("doc_id", "line_no", "place", *(F.when(_compared(min_chars), F.col(h)).alias(h) for h in ("h1", "h2")))
     return slim.join(known, ["h1", "h2"], "left").select(
         "doc_id",
         "line_no",
         F.when(F.col("h1").isNotNull(), F.coalesce("class", F.xxhash64(F.concat_ws(":", "h1", "h2")))).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (F.col("class_first").isNull() | (F.col("place") == F.col("class_first"))).alias("kept"),
+        (F.col("several").isNull() | F.coalesce(F.col("place") == F.col("stays"), F.lit(False))).alias("kept"),
     )
 
 

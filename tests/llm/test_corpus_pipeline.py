@@ -28,7 +28,7 @@ def test_every_stage_takes_effect(spark, small):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
     assert rejected and sum(labels.get(i, 0) == 1 for i in rejected) <= 3
     # no line of some length occurs twice any more
-    lines = [x for r in kept["lines"].values() for x in r.text.split("\n") if len(x) >= line_dedup.MIN_CHARS]
+    lines = [x for r in kept["lines"].values() for x in r.text.split("\n") if len(x) >= line_dedup.MIN_DROPPED_CHARS]
     assert len(lines) == len(set(lines)) and set(kept["lines"]) == set(kept["quality"])
     # no links and no test items are left
     left = spark.createDataFrame([(r.doc_id, r.text) for r in kept["decontamination"].values()], "doc_id long, text string")

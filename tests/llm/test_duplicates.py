@@ -162,10 +162,10 @@ def brute_lines(rows, edits, min_chars):
                 links[m] += 1
                 x, y = top(n), top(m)
                 root[max(x, y)] = min(x, y)
-    first = {}
-    for n, (i, k, _) in enumerate(lines):
-        first[top(n)] = min(first.get(top(n), (i, k)), (i, k))
-    return {(i, k): (links[n], first[top(n)] == (i, k)) for n, (i, k, _) in enumerate(lines)}
+    stays = {}
+    for i, k, a in sorted(lines):
+        stays[i, k] = not any(stays[j, m] and (a == b or abs(len(a) - len(b)) <= edits and len(a) < 200 and distance(a, b) <= edits) for j, m, b in lines if (j, m) in stays)
+    return {(i, k): (links[n], stays[i, k]) for n, (i, k, _) in enumerate(lines)}
 
 
 @pytest.mark.parametrize("edits", [1, 2])
@@ -204,21 +204,61 @@ def test_short_lines_have_classes(spark, edits):
 def test_op8_equals_brute_force(spark, small, texts, queries):
     rows = queries["op8_line_dedup"](spark, small).collect()
     assert len(rows) == sum(t.count("\n") + 1 for t in texts.values())
-    # equal lines are enough here: near ones are covered above
-    first, count = {}, {}
-    for i in sorted(texts):
-        for k, x in enumerate(texts[i].split("\n")):
-            if len(x) >= ld.MIN_CHARS:
-                first.setdefault(x, (i, k))
-                count[x] = count.get(x, 0) + 1
+    every = [(i, k, x) for i in sorted(texts) for k, x in enumerate(texts[i].split("\n"))]
+    count, first = {}, {}
+    for i, k, x in every:
+        count[x] = count.get(x, 0) + 1
+        first.setdefault(x, (i, k))
+    # lines within two edits share one of the texts that two deletions leave; long ones are compared by length and letters
+    near, by_length = {}, {}
+    for x in count:
+        by_length.setdefault(len(x), []).append(x)
+    letters = {x: {c: x.count(c) for c in set(x)} for x in count}
+    for x in count:
+        if len(x) < ld.near_chars(2):
+            continue
+        for n in (len(x), len(x) + 1, len(x) + 2):
+            for y in by_length.get(n, ()):
+                if (n, x) < (len(x), y) or n > len(x):
+                    gap = sum(abs(letters[x].get(c, 0) - letters[y].get(c, 0)) for c in {*letters[x], *letters[y]})
+                    if gap <= 4 and x != y and distance(x, y) <= 2:
+                        near.setdefault(x, set()).add(y)
+                        near.setdefault(y, set()).add(x)
+    kept = set()
+    for x in first:  # in the order of first places
+        if not near.get(x, set()) & kept:
+            kept.add(x)
     for r in rows:
         x = texts[r.doc_id].split("\n")[r.line_no]
-        if x in first:
-            assert r.n_links >= count[x] - 1
-            if r.n_links == count[x] - 1:
-                assert r.kept == (first[x] == (r.doc_id, r.line_no))
-        else:
-            assert (r.class_id, r.n_links, r.kept) == (None, 0, True)
+        assert r.n_links == count[x] - 1 + sum(count[y] for y in near.get(x, ()))
+        assert r.kept == (x in kept and first[x] == (r.doc_id, r.line_no))
+
+
+@pytest.mark.parametrize("shared", [1, 3, 200])
+def test_lines_that_share_segments_with_many(spark, monkeypatch, shared):
+    monkeypatch.setattr(ld, "SHARED_LINES", shared)
+    r = random.Random(shared)
+    prefix = "https://example.org/some/long/path/to/what/there/is/"
+    lines = [prefix + "".join(r.choice("0123456789abcdef") for _ in range(30)) for _ in range(60)]
+    lines += [f"Item number {i:04d} of the catalogue of parts" for i in range(0, 2000, 7)]
+    lines += [edit(r, x, r.randrange(1, 4)) for x in lines[:60]] + [f"{i:06d}" for i in range(0, 3000, 41)] + [prefix, prefix + "ab", "x" * 40, "x" * 42, "x" * 41 + "y"]
+    r.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 7 : i * 7 + 7])) for i in range(len(lines) // 7 + 1)]
+    near = lambda a, b: a == b or abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2
+    every = [(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n")) if x]
+    links = {(i, k): sum(near(x, y) for *_, y in every) - 1 for i, k, x in every}
+    stays, kept = {}, []
+    for i, k, x in every:
+        stays[i, k] = not any(near(x, y) for y in kept)
+        kept += [x] if stays[i, k] else []
+    got = {(x.doc_id, x.line_no): (x.n_links, x.kept) for x in ld.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in got.items() if k in links} == {k: (n, stays[k]) for k, n in links.items()}
+
+
+def test_line_classes_of_text_ids(spark):
+    rows = [("b", "a line of some length here"), ("a", "a line of some length there\nx"), ("c", "quite another line of text"), (None, "a line of some length here")]
+    got = {(x.doc_id, x.line_no): (x.n_links, x.kept) for x in ld.line_classes(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("b", 0): (1, False), ("a", 0): (1, True), ("a", 1): (0, True), ("c", 0): (0, True), (None, 0): (0, True)}
 
 
 @pytest.mark.parametrize("bound", [-1, 1_000_000])
