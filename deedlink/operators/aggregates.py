@@ -153,15 +153,16 @@ ORDERED_VALUES = 200_000
 RANGE_PARTS = 64
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], ordered: int = ORDERED_VALUES) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], ordered: int = ORDERED_VALUES, weight: str | None = None) -> DataFrame:
     """Exact interpolated percentiles per key, together with the number of values ``n``.
 
-    Equal values are counted first. Where a key has more than ``ordered`` different values, its range is cut at approximate
+    With ``weight``, a whole number, a row counts as so many equal values. Equal values are counted first. Where a key has more than ``ordered`` different values, its range is cut at approximate
     quantiles of the values themselves (a mergeable summary), only the parts that hold a wanted rank go on, and these are cut
     again until they are small enough to be put in order. So neither a hot key nor values that crowd in one place
     make a task that holds them all.
     """
-    rows = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    rows = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("__c")).filter(F.col("__c") > 0))
     largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).head()[0] or 0
     path: list[str] = []
     if largest > ordered:

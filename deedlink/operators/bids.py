@@ -43,6 +43,9 @@ class BidModel:
     widest_spread: float = 0.2
     high_confidence: int = 70
     medium_confidence: int = 45
+    #: upper ends of the bands of waiting days, and the extra weight of a sale of the scenario's own band; a band away it is one less
+    wait_bands: tuple = (7, 14, 30, 60)
+    same_band_weight: int = 2
 
 
 def eligible_listings(df: DataFrame) -> DataFrame:
@@ -91,30 +94,68 @@ def _by_tier(df: DataFrame, tiers: list[list[str]]) -> DataFrame:
     return df.withColumn("__place", F.explode(places)).select(*df.columns, "__place.*").filter(F.col("tier_key").isNotNull())
 
 
-def tier_spreads(comps: DataFrame, tiers: list[list[str]], ratio: str, model: BidModel) -> DataFrame:
+def wait_band(wait: Column | str, model: BidModel) -> Column:
+    """Number of the band of waiting days; null stays null."""
+    c = F.col(wait) if isinstance(wait, str) else wait
+    passed = [F.when(c > end, 1).otherwise(0) for end in model.wait_bands]
+    return F.when(c.isNotNull(), sum(passed[1:], passed[0]))
+
+
+def _by_wait(rows: DataFrame, near: list[str], model: BidModel) -> DataFrame:
+    """Every sale once for each combination of bands that a subject can have, weighted by how near its own bands are.
+
+    The combinations are fixed by the model, so a sale is repeated a bounded number of times; sales are counted by ratio
+    and bands before that.
+    """
+    keys = [c for c in rows.columns if c not in near]
+    own = [f"__own{i}" for i in range(len(near))]
+    counted = rows.select(*keys, *[wait_band(n, model).alias(o) for n, o in zip(near, own)]).groupBy(*keys, *own).agg(F.count(F.lit(1)).alias("__rows"))
+    bands = F.array(*[F.lit(i) for i in range(len(model.wait_bands) + 1)], F.lit(None).cast("int"))
+    weight = F.lit(1)
+    for i, o in enumerate(own):
+        counted = counted.withColumn(f"__near{i}", F.explode(bands))
+        step = F.greatest(F.lit(0), model.same_band_weight - F.abs(F.col(o) - F.col(f"__near{i}")))
+        weight = weight + F.when(F.col(o).isNotNull() & F.col(f"__near{i}").isNotNull(), step).otherwise(0)
+    return counted.withColumn("__weight", (weight * F.col("__rows")).cast("long"))
+
+
+def tier_spreads(comps: DataFrame, tiers: list[list[str]], ratio: str, model: BidModel, near: list[str] | None = None) -> DataFrame:
     """Per tier and key with enough comparable sales: their number and the ratios behind low, suggested and high.
 
-    All tiers come out of one pass over the sales.
+    All tiers come out of one pass over the sales. With ``near`` (columns of waiting days) there is one row per combination
+    of bands of a subject, ``__near0`` and so on, and sales of near bands weigh more.
     """
     shares = {"low": model.low_share, "mid": model.strategies[model.strategy], "high": model.high_share}
-    spreads = exact_percentiles(_by_tier(comps, tiers), ["tier_number", "tier_key"], ratio, shares)
-    return spreads.filter(F.col("n") >= model.min_comps)
+    placed, keys = _by_tier(comps, tiers), ["tier_number", "tier_key"]
+    if not near:
+        return exact_percentiles(placed, keys, ratio, shares).filter(F.col("n") >= model.min_comps)
+    weighed = _by_wait(placed.select(*keys, ratio, *near).filter(F.col(ratio).isNotNull()), near, model)
+    bands = [f"__near{i}" for i in range(len(near))]
+    spreads = exact_percentiles(weighed, [*keys, *bands], ratio, shares, weight="__weight").drop("n")
+    number = placed.filter(F.col(ratio).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return spreads.join(number, keys).filter(F.col("n") >= model.min_comps)
 
 
 def recommend(
-    subjects: DataFrame, comps: DataFrame, tiers: list[list[str]], ask: str, ratio: str, model: BidModel = BidModel()
+    subjects: DataFrame, comps: DataFrame, tiers: list[list[str]], ask: str, ratio: str, model: BidModel = BidModel(), near: list[str] | None = None
 ) -> DataFrame:
     """Bid columns for every subject, from the first tier with enough comparable sales.
 
+    ``near``: columns of waiting days (DOM, CDOM) of subjects and sales; sales that waited about as long weigh more.
+
     Comparable sales are reduced to one row per tier key before they meet a subject, so no subject-sale pair is made.
     That table is small and written out, so that looking it up for each tier does not make it again.
     """
     result = subjects
-    spreads = cut_lineage(tier_spreads(comps, tiers, ratio, model))
+    spreads = cut_lineage(tier_spreads(comps, tiers, ratio, model, near))
+    bands = {f"__near{i}": wait_band(c, model) for i, c in enumerate(near or [])}
     for i, keys in enumerate(tiers):
         own = spreads.filter(F.col("tier_number") == i)
-        own = own.select(F.col("tier_key").alias(f"__k{i}"), F.struct("n", "low", "mid", "high").alias(f"__t{i}"))
-        result = result.join(own, _tier_key(keys) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+        own = own.select(F.col("tier_key").alias(f"__k{i}"), *bands, F.struct("n", "low", "mid", "high").alias(f"__t{i}"))
+        on = _tier_key(keys) == F.col(f"__k{i}")
+        for name, band in bands.items():
+            on = on & band.eqNullSafe(F.col(name))
+        result = result.join(own, on, "left").drop(f"__k{i}", *bands)
     found = [F.col(f"__t{i}") for i in range(len(tiers))]
     tier = F.lit(None).cast("string")
     for name, t in reversed(list(zip(TIER_NAMES, found))):

@@ -19,7 +19,7 @@ class Workload(NamedTuple):
 
 
 WORKLOADS: dict[str, Workload] = {}
-MODULES = ["scalars", "keyed", "linking", "reporting", "exploring", "exports", "jobs"]
+MODULES = ["scalars", "keyed", "linking", "reporting", "exports", "exploring", "jobs"]
 
 
 def workload(sql: str | None = None) -> Callable[[Query], Query]:

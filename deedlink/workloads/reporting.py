@@ -341,6 +341,48 @@ def manual_scenarios(spark, sf):
     return s.select("s_suppkey", F.coalesce("bidSuggested", F.lit(0)).alias("suggested"), F.col("bidCompTier").alias("tier"))
 
 
+def _band_sql(wait: str) -> str:
+    return f"CASE WHEN {wait} IS NULL THEN NULL WHEN {wait} <= 7 THEN 0 WHEN {wait} <= 14 THEN 1 WHEN {wait} <= 30 THEN 2 WHEN {wait} <= 60 THEN 3 ELSE 4 END"
+
+
+SCENARIO_TIERS = [["n_name", "c_mktsegment"], ["zip", "c_mktsegment"], ["c_mktsegment"]]
+
+
+def _scenario_tier_sql(i: int) -> str:
+    same = " AND ".join(f"s.{k} = c.{k}" for k in SCENARIO_TIERS[i])
+    bonus = " + ".join(f"coalesce(greatest(0, 2 - abs(s.{b} - c.{b})), 0)" for b in ("dom_band", "cdom_band"))
+    # a sale of weight w stands w times
+    return f"""t{i} AS (SELECT s_suppkey, count(DISTINCT o_orderkey) AS n{i}, quantile_cont(ratio, 0.25) AS low{i}, quantile_cont(ratio, 0.5) AS mid{i}, quantile_cont(ratio, 0.75) AS high{i}
+        FROM (SELECT s_suppkey, o_orderkey, ratio, unnest(range(1 + {bonus})) FROM scenarios s JOIN comps c ON {same}) GROUP BY s_suppkey HAVING count(DISTINCT o_orderkey) >= 6)"""
+
+
+@workload(f"""
+    WITH placed AS ({PLACED_SQL}),
+    comps AS (SELECT *, 'Z' || o_custkey % 12 AS zip, {_band_sql("CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_orderkey % 75 END")} AS dom_band, {_band_sql("o_orderkey % 130")} AS cdom_band
+              FROM placed WHERE o_orderstatus = 'F' AND o_custkey % 10 <> 0 AND day BETWEEN DATE '2001-08-01' - 90 AND DATE '2001-08-01'),
+    scenarios AS (SELECT s_suppkey, s_acctbal, n_name, 'Z' || s_suppkey % 15 AS zip, CASE s_suppkey % 4 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' WHEN 2 THEN 'AUTOMOBILE' ELSE 'none' END AS c_mktsegment,
+                  {_band_sql("CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey * 7 % 90 END")} AS dom_band, {_band_sql("s_suppkey * 11 % 200")} AS cdom_band
+                  FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+    {", ".join(_scenario_tier_sql(i) for i in range(3))}
+    SELECT s_suppkey, {_rounded("s_acctbal * coalesce(mid0, mid1, mid2)")} AS suggested, {_rounded("s_acctbal * coalesce(low0, low1, low2)")} AS low, {_rounded("s_acctbal * coalesce(high0, high1, high2)")} AS high,
+           coalesce(n0, n1, n2, 0) AS comps, CASE WHEN n0 IS NOT NULL THEN 'T1_NEIGHBORHOOD_TYPE' WHEN n1 IS NOT NULL THEN 'T2_ZIP_TYPE' WHEN n2 IS NOT NULL THEN 'T3_CITY_TYPE' ELSE 'NONE' END AS tier
+    FROM scenarios LEFT JOIN t0 USING (s_suppkey) LEFT JOIN t1 USING (s_suppkey) LEFT JOIN t2 USING (s_suppkey)""")
+def scenario_bids(spark, sf):
+    """Scenarios of ask, neighborhood, type, ZIP, DOM and CDOM; sales that waited about as long weigh more."""
+    supplier, order, customer = F.col("s_suppkey"), F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.when(supplier % 4 == 0, "BUILDING").when(supplier % 4 == 1, "MACHINERY").when(supplier % 4 == 2, "AUTOMOBILE").otherwise("none")
+    scenarios = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "s_suppkey", "s_acctbal", "n_name", F.concat(F.lit("Z"), (supplier % 15).cast("string")).alias("zip"), kind.alias("c_mktsegment"),
+        F.when(supplier % 5 != 0, supplier * 7 % 90).alias("dom"), (supplier * 11 % 200).alias("cdom"),
+    )
+    comps = _comps(_placed(spark, sf)).withColumns({
+        "zip": F.concat(F.lit("Z"), (customer % 12).cast("string")), "dom": F.when(customer % 9 != 0, order % 75), "cdom": order % 130,
+    })
+    s = b.recommend(scenarios, comps, SCENARIO_TIERS, "s_acctbal", "ratio", MODEL, near=["dom", "cdom"])
+    names = {"bidSuggested": "suggested", "bidLow": "low", "bidHigh": "high"}
+    return s.select("s_suppkey", *[F.coalesce(c, F.lit(0)).alias(n) for c, n in names.items()], F.col("bidCompCount").alias("comps"), F.col("bidCompTier").alias("tier"))
+
+
 @workload(f"""
     SELECT o_orderkey, {sql_cents("o_totalprice")} AS price_cents FROM orders
     WHERE o_orderstatus = 'O' AND o_totalprice > 0 AND o_orderpriority <> '5-LOW'""")

@@ -107,3 +107,13 @@ def test_fragment_holds_a_bounded_number_of_values(spark):
 def test_group_counts(spark):
     df = spark.createDataFrame([("a",), ("",), (None,), ("a",)], "m string")
     assert {r.m: r.rows for r in a.group_counts(df, "m").collect()} == {"a": 2, "UNKNOWN": 2}
+
+
+def test_weighted_percentiles_repeat_values(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice("ab"), rnd.random(), rnd.randrange(4)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double, w int")
+    for ordered in (200_000, 30):
+        for r in a.exact_percentiles(df, ["k"], "v", {"p": 0.3, "q": 0.75}, ordered, weight="w").collect():
+            values = [v for k, v, w in rows for _ in range(w) if k == r.k]
+            assert (r.n, r.p, r.q) == (len(values), pytest.approx(np.quantile(values, 0.3)), pytest.approx(np.quantile(values, 0.75)))
