@@ -11,7 +11,7 @@ from deedlink.functions.presence import count_present
 from deedlink.functions.text import status_rank
 from deedlink.operators import aggregates as a
 from deedlink.operators.dedupe import collapse_snapshots, freshness
-from deedlink.operators.ordering import with_group_position, with_position
+from deedlink.operators.ordering import with_fragment, with_group_position, with_position
 from deedlink.functions.address import address_key
 from deedlink.operators.resolve import Lookup, county_addresses, previous_parcels, resolve_by_cascade, resolve_listings, wanted_addresses
 from deedlink.sources.coordinates import inside_box, parcel_points
@@ -110,9 +110,9 @@ LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quanti
     FROM folded""")
 def ordered_fold(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_suppkey", *LINE_ORDER)
-    # rows are ordered by ship date first, so the month is a coarse prefix of the order
-    lines = lines.withColumns({"pos": F.struct(*LINE_ORDER), "month": F.date_trunc("month", day("l_shipdate"))})
-    kept = a.ordered_fold(lines, ["l_suppkey"], "l_quantity", F.col("l_returnflag") == "R", "pos", "month")
+    # fragments by rank: a supplier with a third of all rows on one day is cut like any other
+    lines = with_fragment(lines, ["l_suppkey"], LINE_ORDER).drop("l_partkey", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
+    kept = a.ordered_fold(lines, ["l_suppkey"], "l_quantity", F.col("l_returnflag") == "R", "position", "fragment")
     return kept.select(
         "l_suppkey",
         F.col("l_quantity").alias("quantity"),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deedlink.operators import aggregates as a
-from deedlink.operators.ordering import fragment_of, with_group_position, with_position
+from deedlink.operators.ordering import fragment_of, with_fragment, with_group_position, with_position
 
 
 def test_learned_label_prefers_count_then_first_seen(spark):
@@ -117,3 +117,19 @@ def test_weighted_percentiles_repeat_values(spark):
         for r in a.exact_percentiles(df, ["k"], "v", {"p": 0.3, "q": 0.75}, ordered, weight="w").collect():
             values = [v for k, v, w in rows for _ in range(w) if k == r.k]
             assert (r.n, r.p, r.q) == (len(values), pytest.approx(np.quantile(values, 0.3)), pytest.approx(np.quantile(values, 0.75)))
+
+
+def test_fold_of_a_hot_key_on_one_day_in_fragments_of_bounded_size(spark):
+    rnd = random.Random(11)
+    rows = [("hot" if rnd.random() < 0.4 else rnd.choice("abcdef"), 1, i, rnd.randrange(50), rnd.random() < 0.1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, day int, o long, size int, flag boolean").repartition(5)
+    cut = with_fragment(df, ["k"], ["day", "o"], rows=100)
+    sizes = [r["count"] for r in cut.groupBy("k", "fragment").count().collect()]
+    assert max(sizes) <= 100 and len(sizes) >= 30
+    got = {r.k: (r.size, r.flag, r.o) for r in a.ordered_fold(cut, ["k"], "size", "flag", "position", "fragment").collect()}
+    for k in {r[0] for r in rows}:
+        kept = None
+        for _, _, o, size, flag in (r for r in rows if r[0] == k):
+            if kept is None or size > kept[0] or (flag and not kept[1]):
+                kept = (size, flag, o)
+        assert got[k] == kept
