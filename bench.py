@@ -35,6 +35,10 @@ HEADLINE = [
     "validation_report",
     "geo_ratio_buckets",
     "kpi_summary",
+    "cross_filter_facets",
+    "located_rows",
+    "heat_tiles",
+    "scenario_bids",
     "bid_recommend",
     "comp_rows",
     "top_bids",
