@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from deedlink.functions.address import address_key, listing_display_address, listing_street
@@ -19,7 +21,7 @@ from deedlink.functions.text import (
     zip5,
 )
 from deedlink.operators.dedupe import OWN_PARCEL
-from deedlink.session import cut_lineage
+from deedlink.session import cut_lineage, shared_folder
 from deedlink.sources.files import path_exists
 
 #: Names that mark the header line, and names every export must have.
@@ -37,6 +39,7 @@ OPTIONAL_LISTING_COLUMNS = [
     "New Construction State", "Square Footage Source",
 ]
 EXPORT_FILES = "*.[cC][sS][vV]"
+VISIBLE = "visible"
 #: Rows of one file stay below 2**40, so file rank and row position fit into one long.
 ROW_BITS = 40
 
@@ -57,26 +60,52 @@ def _escaped(name: str) -> str:
     return "".join("\\" + c if c in "\\*?[]{}" else c for c in name)
 
 
+def _visible_copies(spark: SparkSession, directory: str, names: list[str]) -> str | None:
+    """A new shared folder with the files ``names`` under names that begin with ``VISIBLE``; None if there are none.
+
+    Spark's readers leave out a file whose name begins with an underscore even where it is named. Hadoop copies such files
+    a buffer at a time; they are named by hand, not written by jobs.
+    """
+    if not names:
+        return None
+    path, util = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.hadoop.fs.FileUtil
+    conf, folder = spark._jsc.hadoopConfiguration(), f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
+    for name in names:
+        # through a parent path, so that no character of the name is taken for a scheme
+        source, target = path(path(directory), f"./{name}"), path(path(folder), f"./{VISIBLE}{name}")
+        if not util.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf):
+            raise OSError(f"{name} could not be copied")
+    return folder
+
+
 def read_lines(spark: SparkSession, directory: str) -> DataFrame:
     """Lines that are not blank as (file, row, value); ``row`` is the dense 0-based position inside the file.
 
     Numbers come from the running id of the scan, shifted by the sizes of the blocks before; the shift table has one
     row per block of a file. The lines are written out first so that both uses see the same ids.
     """
-    # read by name: in a directory scan Spark leaves out names that begin with an underscore
-    paths = [f"{directory.rstrip('/')}/{_escaped(name)}" for name in list_exports(spark, directory)]
+    names = list_exports(spark, directory)
+    paths = [f"{directory.rstrip('/')}/{_escaped(name)}" for name in names if not name.startswith("_")]
+    copies = _visible_copies(spark, directory, [name for name in names if name.startswith("_")])
+    if copies:
+        paths.append(copies)
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    copied = F.col("_metadata.file_path").contains(copies.rsplit("/", 1)[1]) if copies else F.lit(False)
     scanned = (
         spark.read.text(paths)
         .select(
             "value",
             # the name comes URL-encoded, a plus sign in it does not stand for a blank
-            F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("file"),
+            F.when(copied, F.substring(name, len(VISIBLE) + 1, 1 << 30)).otherwise(name).alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
         )
         .filter(trimmed("value") != "")
         .withColumn("id", F.monotonically_increasing_id())
     )
     scanned = cut_lineage(scanned)
+    if copies:
+        path = spark._jvm.org.apache.hadoop.fs.Path(copies)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         scanned.groupBy("file", "block")

@@ -188,6 +188,21 @@ def test_listing_scan(spark, exports):
     assert got[4].region == "QA Magnolia" and got[4].domRaw == "0"
 
 
+def test_positions_hold_across_blocks_of_a_file(spark, tmp_path):
+    put(tmp_path, "_a.csv", "".join(f"{i},{'x' * (i % 50)}\n" + "\n" * (i % 3) for i in range(3000)))
+    put(tmp_path, "b.csv", "".join(f"{i}\n" for i in range(10)))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "4096")
+        lines = read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 1
+        got = lines.collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(got) == 3010 and all(int(r.value.split(",")[0]) == r.row for r in got)
+
+
 def test_listing_header_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_listings(spark, str(tmp_path / "none"))
