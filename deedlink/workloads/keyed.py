@@ -54,8 +54,10 @@ def in_scope_filter(spark, sf):
     LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 3000) ON s_suppkey = l_suppkey
     GROUP BY ALL""")
 def lookup_chain(spark, sf):
-    part = table(spark, sf, "part").filter(F.col("p_size") > 10).select("p_partkey", "p_brand")
-    supplier = table(spark, sf, "supplier").filter(F.col("s_acctbal") > 3000).select("s_suppkey", "s_nationkey")
+    # both tables are read whole, rows that don't count have no value
+    part = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("p_brand"))
+    rich = lambda c: F.when(F.col("s_acctbal") > 3000, F.col(c))
+    supplier = table(spark, sf, "supplier").select("s_suppkey", rich("s_nationkey").alias("s_nationkey"), rich("s_suppkey").alias("rich"))
     joined = (
         table(spark, sf, "lineitem")
         .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -69,7 +71,7 @@ def lookup_chain(spark, sf):
     ).agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(cents("l_extendedprice")).alias("price_cents"),
-        F.count("s_suppkey").alias("with_supplier"),
+        F.count("rich").alias("with_supplier"),
     )
 
 
