@@ -85,13 +85,16 @@ def ordered_fold(
     ``fragment`` must grow with ``order`` and stand for a bounded number of rows. Each fragment is reduced to one row
     first; what later fragments hold is then a window over these rows, so no task sees a whole key. Inside a fragment
     the rows that nothing later exceeds have falling sizes, so only the first of them can pass the later fragments.
+
+    ``order`` is unique inside a key. Only key, size, flag, order and fragment go through the fold; the rows that win
+    are fetched afterwards.
     """
-    values = [c for c in df.columns if c not in keys]
-    base = df.withColumns(
-        {
-            "__frag": F.col(fragment) if isinstance(fragment, str) else fragment,
-            "__flag": F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False)),
-        }
+    values = [size, order]
+    base = df.select(
+        *keys,
+        *values,
+        (F.col(fragment) if isinstance(fragment, str) else fragment).alias("__frag"),
+        F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False)).alias("__flag"),
     )
     part = [*keys, "__frag"]
     upcoming = Window.partitionBy(*part).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -136,9 +139,10 @@ def ordered_fold(
         F.min_by("__trails", F.when(trails.isNotNull(), F.struct(-trails[size], trails[order]))).alias("__tail"),
     )
     take_tail = F.col("__kept").isNull() | F.coalesce(F.col("__tail")[size] > F.col("__kept")[size], F.lit(False))
-    return folded.withColumn("__r", F.when(take_tail, F.col("__tail")).otherwise(F.col("__kept"))).select(
-        *keys, *[F.col("__r")[c].alias(c) for c in values]
-    )
+    winner = F.when(take_tail, F.col("__tail")).otherwise(F.col("__kept"))[order]
+    winners = folded.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], winner.alias("__order"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return df.join(winners, reduce(lambda a, b: a & b, same, F.col(order) == F.col("__order")), "left_semi")
 
 
 def group_counts(df: DataFrame, column: str, missing: str = "UNKNOWN", out: str = "rows") -> DataFrame:
