@@ -7,6 +7,9 @@ bounded below whatever the length of the document. A window and an item that sha
 a candidate: an item contained to 0.8 in one run is missed with a chance of about 1e-6. Least values of small
 blocks are merged to those of larger ones, so that all partitions cost little more than the narrowest. The containment
 of candidates is then counted on the shingle set of the whole document.
+
+Items of one to four words have no shingle of five; such an item counts as one shingle, all its words, and is contained where
+these stand one after the other. All runs of that many words are compared, so none is missed.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from deedlink.llm.common import map_arrow, shingle_sequence, stage, texts
+from deedlink.llm.common import SHINGLE_WORDS, map_arrow, mix, shingle_sequence, stage, texts, word_hashes
 
 THRESHOLD = 0.8
 FUNCTIONS = 64
@@ -55,9 +58,14 @@ class Partition(NamedTuple):
 
 
 class Items(NamedTuple):
+    """Items with their shingles and partitions; short ones by the hash of their words, in the order of hashes."""
+
     ids: list
     shingles: list[np.ndarray]
     partitions: list[Partition]
+    short_hashes: np.ndarray
+    short_ids: list
+    short_widths: list[int]
 
 
 def _hashed(shingles: np.ndarray) -> np.ndarray:
@@ -66,9 +74,13 @@ def _hashed(shingles: np.ndarray) -> np.ndarray:
 
 
 def prepare(rows: list[tuple[object, str | None]]) -> Items:
-    """Items (id, text) by partition. Items of fewer than five words have no shingle and are never found."""
-    ids, sets, by_width = [], [], defaultdict(list)
+    """Items (id, text) by partition, those of one to four words apart. Items without a word are contained nowhere."""
+    ids, sets, by_width, short = [], [], defaultdict(list), []
     for item_id, text in rows:
+        n_words = len((text or "").split())
+        if 0 < n_words < SHINGLE_WORDS:
+            short.append((int(shingle_sequence(text)[0]), item_id, n_words))
+            continue
         own = np.unique(shingle_sequence(text or "", short=False))
         if len(own):
             width = NARROWEST
@@ -85,7 +97,27 @@ def prepare(rows: list[tuple[object, str | None]]) -> Items:
         marks = np.zeros((FUNCTIONS, 1 << 16), bool)
         marks[np.tile(np.arange(FUNCTIONS), len(members)), (least & np.uint32(0xFFFF)).ravel()] = True
         partitions.append(Partition(width, keys[order], items[order], marks))
-    return Items(ids, sets, partitions)
+    short.sort(key=lambda item: item[0])
+    hashes = np.array([h for h, *_ in short], np.uint64)
+    return Items(ids, sets, partitions, hashes, [i for _, i, _ in short], sorted({n for *_, n in short}))
+
+
+def short_items(items: Items, text: str) -> list:
+    """Ids of the items of one to four words whose words stand in ``text`` one after the other."""
+    if not items.short_widths:
+        return []
+    words, found = word_hashes(text.lower().split()), []
+    for width in items.short_widths:
+        if len(words) < width:
+            break
+        runs = np.full(len(words) - width + 1, width, np.uint64)
+        for k in range(width):
+            runs = mix(runs * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(runs)])
+        runs = np.unique(runs)
+        first, last = np.searchsorted(items.short_hashes, runs, "left"), np.searchsorted(items.short_hashes, runs, "right")
+        for i, j in zip(first[last > first].tolist(), last[last > first].tolist()):
+            found += items.short_ids[i:j]
+    return found
 
 
 def _narrow_blocks(sequence: np.ndarray) -> np.ndarray:
@@ -121,7 +153,7 @@ def candidates(sequence: np.ndarray, partitions: list[Partition]) -> Iterator[tu
             yield w * width, (w + 2) * width, partition.items[i:j]
 
 
-def _search(items: Items, threshold: float, doc_ids: pa.Array, documents: list[np.ndarray]) -> pa.RecordBatch:
+def _search(items: Items, threshold: float, doc_ids: pa.Array, documents: list[np.ndarray], short: list[list]) -> pa.RecordBatch:
     found: dict[int, set[int]] = defaultdict(set)
     ends = np.cumsum([len(d) for d in documents])
     if len(ends) and ends[-1]:
@@ -138,6 +170,10 @@ def _search(items: Items, threshold: float, doc_ids: pa.Array, documents: list[n
             if shared >= threshold * len(item) - 1e-9:
                 for column, value in zip(rows, (d, items.ids[i], shared, len(item))):
                     column.append(value)
+    for d, own in enumerate(short):
+        for item_id in own:
+            for column, value in zip(rows, (d, item_id, 1, 1)):
+                column.append(value)
     doc = doc_ids.take(pa.array(rows[0], pa.int64()))
     shared, size = pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())
     return pa.RecordBatch.from_arrays([doc, pa.array(rows[1], pa.int64()), shared, size], ["doc_id", "item_id", "n_shared", "n_shingles"])
@@ -147,7 +183,8 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, threshold: float
     """Rows (doc_id, item_id, n_shared, n_shingles): items of which a document contains ``threshold`` of the shingles or more.
 
     ``documents``: doc_id, text; ``benchmark``: item_id, text. All items are searched for, a bounded number in one pass
-    over the documents. Null texts count as empty and contain nothing. Repeated documents and items give a row each.
+    over the documents. An item of one to four words counts as one shingle. Null texts count as empty: they contain
+    nothing and are contained nowhere. Repeated documents and items give a row each.
     """
     total, size = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     passes = max(1, -(-total // PASS_ITEMS), -(-size // PASS_BYTES))
@@ -161,13 +198,14 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, threshold: float
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                doc_ids, start, held, own = batch.column("doc_id"), 0, 0, []
+                doc_ids, start, held, own, short = batch.column("doc_id"), 0, 0, [], []
                 for k, text in enumerate(texts(batch.column("text"))):
                     own.append(shingle_sequence(text, short=False))
+                    short.append(short_items(shared.value, text))
                     held += len(own[-1])
                     if held >= 4 * CHUNK or k == batch.num_rows - 1:
-                        yield _search(shared.value, threshold, doc_ids.slice(start, len(own)), own)
-                        start, held, own = k + 1, 0, []
+                        yield _search(shared.value, threshold, doc_ids.slice(start, len(own)), own, short)
+                        start, held, own, short = k + 1, 0, [], []
 
         return map_arrow(slim, run, schema)
 

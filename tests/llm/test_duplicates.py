@@ -290,7 +290,11 @@ def brute_containment(docs, items, threshold=0.8):
     out = set()
     for d, text in docs:
         own = set(shingle_sequence(text or "", short=False).tolist())
+        padded = f" {' '.join((text or '').lower().split())} "
         for i, item in items:
+            words = (item or "").lower().split()
+            if 0 < len(words) < 5 and f" {' '.join(words)} " in padded:
+                out.add((d, i, 1, 1))
             want = set(shingle_sequence(item or "", short=False).tolist())
             if want and len(want & own) >= threshold * len(want) - 1e-9:
                 out.add((d, i, len(want & own), len(want)))
@@ -313,9 +317,15 @@ def test_containment_of_planted_items(spark, monkeypatch):
         half = len(words) // 2
         docs.append((3 * i + 2, " ".join(words[half:]) + " " + prose(50 + i, 400) + " " + " ".join(words[:half])))
     docs += [(100, None), (101, ""), (None, items[4][1]), (102, items[4][1])]
+    # items of one to four words: at both ends, alone, in another case, parted, and as a part of a longer word
+    items += [(93, "Lone"), (94, "in four words exactly"), (95, "too short"), (96, " \n ")]
+    docs += [(103, "Too\nshort it is"), (104, prose(31, 3000) + " too short"), (105, "too very short"), (106, "tattoo shorter"), (107, "LONE"),
+             (108, "alone lonely"), (109, "said in Four words exactly so"), (110, "in four words"), (111, prose(32, 40_000) + " lone " + prose(33, 40_000))]
     documents = spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, item_id string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     want = brute_containment(docs, items)
+    assert {(d, i) for d, i, *_ in want if i in (90, 93, 94, 95)} == {
+        (103, 90), (104, 90), (103, 95), (104, 95), (107, 93), (109, 94), (111, 93)}
     assert {tuple(r) for r in containment.contained_items(documents, benchmark).collect()} == want
     monkeypatch.setattr(containment, "PASS_ITEMS", 3)
     assert {tuple(r) for r in containment.contained_items(documents, benchmark).collect()} == want
