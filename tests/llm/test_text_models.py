@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -152,6 +153,27 @@ def test_secrets_without_digits_and_short_ones(spark):
     assert sum(i in found for i, _ in names) <= 20
 
 
+
+@pytest.mark.parametrize("length,least,most_false", [(12, 0.9, 0.25), (14, 0.9, 0.2), (16, 0.9, 0.2), (20, 0.9, 0.2), (32, 0.9, 0.2)])
+def test_novelty_tells_random_strings_from_identifiers(length, least, most_false):
+    r = random.Random(length)
+    # words with numbers in them, every second of which the dictionary lacks
+    words = sorted({w.strip(".,").lower() for k in range(20) for w in prose(500 + k, 100).split()})
+    dictionary = (" ".join(words[::2]) + " " + ss.IDENTIFIERS).encode()
+    by_length, compressor = ss.limits(dictionary), ss._primed(dictionary)
+
+    def reported(candidate):
+        # surroundings that the calibration has not seen
+        before, after = prose(r.randrange(1000, 9000), 40)[-200:] + " api key ", " " + prose(r.randrange(1000, 9000), 60)
+        return ss.novelty(before, candidate, after, compressor) >= ss.least_novelty(candidate, by_length)
+
+    letters = string.ascii_letters
+    for sort in (letters + string.digits, letters, string.digits + "ABCDEF"):
+        assert sum(reported("".join(r.choice(sort) for _ in range(length))) for _ in range(300)) >= least * 300, sort
+    names = ["_".join(r.choice(words) for _ in range(12))[:length] for _ in range(300)]
+    assert sum(map(reported, names)) <= most_false * 300
+
+
 def test_secrets_of_odd_rows(odd, empty):
     dictionary = ss.identifier_dictionary(odd, odd)
     assert ss.scan(odd, dictionary).count() == len(ODD)
