@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -122,7 +124,9 @@ def _cells(value: Column, width: int) -> Column:
     names = [f"c{i}" for i in range(width)]
     schema = ", ".join(f"{n} string" for n in names)
     parsed = F.from_csv(value, schema, {"escape": '"', "maxColumns": str(max(width, 512) * 2)})
-    return F.transform(F.array(*[parsed[n] for n in names]), lambda c: trimmed(null_to_blank(c)))
+    # bound to a variable, the parsed line is made once; named in every cell, it would be made once a cell
+    lines = F.transform(F.array(parsed), lambda p: F.array(*[trimmed(null_to_blank(p[n])) for n in names]))
+    return F.get(lines, F.lit(0))
 
 
 def numbered(cells: Column) -> Column:
@@ -137,13 +141,11 @@ def numbered(cells: Column) -> Column:
 
 def find_headers(lines: DataFrame, width: int) -> DataFrame:
     """(file, header_row, names, last_row): the first line of each file that holds all header marks as cells."""
-    marked = lines
-    for mark in HEADER_MARKS:
-        marked = marked.filter(F.col("value").contains(mark))
-    marked = marked.withColumn("cells", _cells(F.col("value"), width))
-    for mark in HEADER_MARKS:
-        marked = marked.filter(F.array_contains("cells", mark))
-    heads = marked.groupBy("file").agg(F.min("row").alias("header_row"), F.min_by("cells", "row").alias("cells"))
+    has_marks = reduce(and_, [F.col("value").contains(mark) for mark in HEADER_MARKS])
+    heads = F.filter(F.array(_cells(F.col("value"), width)), lambda c: reduce(and_, [F.array_contains(c, mark) for mark in HEADER_MARKS]))
+    # the test stands inside the value too: Spark may look for a missing value before it filters, and would cut every line
+    head = F.when(has_marks, F.get(F.transform(heads, lambda c: F.struct(F.col("row").alias("header_row"), c.alias("cells"))), F.lit(0)))
+    heads = lines.filter(has_marks).select("file", head.alias("head")).groupBy("file").agg(F.min("head").alias("head")).select("file", "head.*")
     ends = lines.groupBy("file").agg(F.max("row").alias("last_row"))
     return ends.join(heads, "file", "left").withColumn("names", numbered(F.col("cells"))).drop("cells")
 
@@ -186,27 +188,27 @@ def read_listing_cells(spark: SparkSession, directory: str) -> DataFrame:
 def cells_of_lines(lines: DataFrame) -> DataFrame:
     """As ``read_listing_cells``, from lines as (file, row, value); ``row`` orders the lines of a file."""
     width = header_width(lines)
-    headers = find_headers(lines, width)
+    headers = cut_lineage(find_headers(lines, width))
     problems = header_problems(headers)
     if problems:
         raise ValueError("; ".join(problems))
     # one row per file, so this window sees as many rows as there are files
     ranked = headers.filter(F.col("last_row") >= 1).withColumn("file_rank", F.row_number().over(Window.orderBy("file")))
-    rows = lines.join(ranked, "file").filter(F.col("row") > F.col("header_row"))
-    rows = rows.withColumn("cells", _cells(F.col("value"), width))
-
-    def cell(name: str) -> Column:
-        at = F.array_position("names", name)
-        return F.when(at > 0, F.get("cells", (at - 1).cast("int")))
-
     names = dict.fromkeys([*REQUIRED_LISTING_COLUMNS, *OPTIONAL_LISTING_COLUMNS])
+    places = F.array(*[(F.nullif(F.array_position("names", n), F.lit(0)) - 1).cast("int") for n in names])
+    ranked = ranked.withColumn("places", places).drop("names", "last_row")
+    # the driver lists the files, so a row per file is small however many lines a file has
+    rows = lines.join(F.broadcast(ranked), "file").filter(F.col("row") > F.col("header_row"))
+    cells = F.array(_cells(F.col("value"), width))
+    known = F.transform(cells, lambda c: F.struct(*[F.get(c, F.col("places")[i]).alias(n) for i, n in enumerate(names)]))
     place = F.shiftleft(F.col("file_rank").cast("long"), ROW_BITS) + F.col("row")
     fits = (F.col("row") < (1 << ROW_BITS)) & (F.col("file_rank") < (1 << (63 - ROW_BITS)))
     return rows.select(
         "file",
         (F.col("row") - F.col("header_row") - 1).alias("rowIndex"),
         F.when(fits, place).otherwise(F.raise_error(F.lit("too many files or rows for one order")).cast("long")).alias("ord"),
-        *[cell(n).alias(n) for n in names],
+        # a generator's columns are made once a row: filters on them aren't moved below it, where they would parse the line again
+        F.inline_outer(known),
     )
 
 
