@@ -116,7 +116,8 @@ def read_lines(spark: SparkSession, directory: str) -> DataFrame:
         .drop("n")
     )
     row = F.col("id") - F.col("start") + F.col("shift")
-    return scanned.join(blocks, ["file", "block"]).select("file", row.alias("row"), "value")
+    # a row per block of a file, so the lines need not be shuffled to meet them
+    return scanned.join(F.broadcast(blocks), ["file", "block"]).select("file", row.alias("row"), "value")
 
 
 def _cells(value: Column, width: int) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from deedlink.sources.listings import REQUIRED_LISTING_COLUMNS, cells_of_lines, find_headers, typed_listings
+from deedlink.sources.listings import REQUIRED_LISTING_COLUMNS, cells_of_lines, find_headers, read_lines, typed_listings
 
 HEADER = ",".join([*REQUIRED_LISTING_COLUMNS, "Listing Number", "View", "Listing Number"])
 
@@ -34,3 +34,18 @@ def test_cells_of_two_headers(spark):
     assert got["b.csv", 2]["Status"] == "Status" and got["b.csv", 0]["APN"] is None
     assert got["a.csv", 1]["Status"] == "Sold" and got["a.csv", 1]["View"] == ""
     assert got["a.csv", 1].ord < got["b.csv", 0].ord < got["b.csv", 1].ord
+
+
+def test_lines_are_numbered_without_a_shuffle_of_the_lines(spark, tmp_path):
+    for name in ("_a.csv", "b.csv"):
+        (tmp_path / name).write_text("one\n\ntwo\nthree\n")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the lines are many
+    try:
+        lines = read_lines(spark, str(tmp_path))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert got == [(name, i, value) for name in ("_a.csv", "b.csv") for i, value in enumerate(("one", "two", "three"))]
