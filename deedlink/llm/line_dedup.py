@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from deedlink.llm.common import stage
+from deedlink.llm.common import few, stage
 from deedlink.llm.components import components
 
 MAX_EDITS = 2
@@ -85,15 +85,14 @@ def _probe(line: Column, length: Column, edits: int, shorter: int, *more: Column
 
 
 def letter_counts(line: Column) -> Column:
-    """How often each of ``LETTERS`` occurs, eight bits for each."""
-    size, counts = F.octet_length(line), []
-    for k, letter in enumerate(LETTERS):
-        count = size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        counts.append(F.shiftleft((count % 256).cast("long"), 8 * k))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.bitwiseOR(c)
-    return out
+    """How often each of ``LETTERS`` occurs, eight bits for each.
+
+    The letters are gone through by a higher-order function: beside the many hashes of a line, a term for each of them made the
+    generated method too long for the JVM to compile it.
+    """
+    size, letters = F.octet_length(line), F.array(*map(F.lit, LETTERS))
+    count = lambda letter: ((size - F.octet_length(F.replace(line, letter, F.lit("")))) % 256).cast("long")
+    return F.aggregate(letters, F.lit(0).cast("long"), lambda counts, letter: F.shiftleft(counts, 8).bitwiseOR(count(letter)))
 
 
 def counts_within(a: Column, b: Column, edits: int) -> Column:
@@ -113,25 +112,35 @@ def _let(name: str, value: str, body: str) -> str:
 def within_edits(a: str, b: str, edits: int) -> Column:
     """Whether the texts in columns ``a`` and ``b`` are within ``edits`` edits.
 
-    Equal blocks at both ends are stripped first, which leaves the distance as it is. Then bit k of a word stands for
+    The equal parts at both ends are stripped first, which leaves the distance as it is. What is left differs at both ends, so two
+    edits lie there, and of the rest of one text, cut into ``edits - 1`` parts, one at least stands in the other unless they are too
+    far apart. Then bit k of a word stands for
     row j - edits + k of column j of the distance table. A column's step takes a fixed number of operations on words, whatever
     the width of the band; the distance is followed along the lowest diagonal of the band and then up the last column.
     """
-    least = f"least(length({a}), length({b}))"
-    width = f"greatest(16, cast({least} / 16 as int))"
-    head = f"aggregate(sequence(0, 15), 0, (p, k) -> if(p = k * w and p + w <= {least} and substring({a}, p + 1, w) = substring({b}, p + 1, w), p + w, p))"
+    widths = "transform(sequence(0, bits), k -> shiftleft(1, bits - k))"
+    head = f"aggregate({widths}, 0, (p, w) -> if(p + w <= least and substring({a}, p + 1, w) = substring({b}, p + 1, w), p + w, p))"
     tail = (
-        f"aggregate(sequence(0, 15), 0, (q, k) -> if(q = k * w and p0 + q + w <= {least} and"
+        f"aggregate({widths}, 0, (q, w) -> if(p0 + q + w <= least and"
         f" substring({a}, length({a}) - q - w + 1, w) = substring({b}, length({b}) - q - w + 1, w), q + w, q))"
     )
     middle = [f"substring({x}, p0 + 1, length({x}) - p0 - q0)" for x in (a, b)]
-    stripped = _let("x", middle[0], _let("y", middle[1], _banded("x", "y", edits)))
-    whole = _let("w", width, _let("p0", head, _let("q0", tail, stripped)))
-    return F.expr(f"case when {a} = {b} then true when abs(length({a}) - length({b})) > {edits} then false else {whole} end")
+    body = _let("x", middle[0], _let("y", middle[1], _banded("x", "y", edits)))
+    for name, value in (("q0", tail), ("p0", head), ("bits", "cast(log2(least + 1) as int) + 1"), ("least", f"least(length({a}), length({b}))")):
+        body = _let(name, value, body)
+    return F.expr(f"case when {a} = {b} then true when abs(length({a}) - length({b})) > {edits} then false else {body} end")
+
+
+def _may_be_near(a: str, b: str, edits: int) -> str:
+    """SQL for a test that texts of more than ``edits`` characters pass which differ at both ends and are within ``edits`` edits."""
+    parts, inner = edits - 1, f"(length({a}) - 2)"
+    cut = lambda i: f"cast({inner} * {i} div {parts} as int)"
+    held = [f"contains({b}, substring({a}, 2 + {cut(i)}, {cut(i + 1)} - {cut(i)}))" for i in range(parts)]
+    return " or ".join(held) or "false"
 
 
 def _banded(a: str, b: str, edits: int) -> str:
-    """SQL for the bit-parallel distance test of two texts."""
+    """SQL for the bit-parallel distance test of two texts without a common start or end."""
     width = 2 * edits + 2
     full, top = (1 << width) - 1, 1 << (width - 1)
     m, n = f"length({a})", f"length({b})"
@@ -150,7 +159,7 @@ def _banded(a: str, b: str, edits: int) -> str:
     # once even a descent along the rest of the last column leads to too great a distance, nothing more is looked at
     steps = f"aggregate(sequence(0, {n} - 1), {start}, (s, j) -> if(s.d > {2 * edits} + {n} - {m}, s, {step})).d <= {edits}"
     walk = _let("ca", f"split({a}, '')", _let("cb", f"split({b}, '')", steps))
-    return f"if({m} <= {edits} or {n} <= {edits}, levenshtein({a}, {b}) <= {edits}, {walk})"
+    return f"if({m} <= {edits} or {n} <= {edits}, levenshtein({a}, {b}) <= {edits}, if({_may_be_near(a, b, edits)}, {walk}, false))"
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -184,12 +193,11 @@ def _edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     index = distinct.select("h1", "letters", F.explode(F.array(*own)).alias("key"))
     probe = distinct.select("h1", "letters", F.explode(F.array(*probes)).alias("key")).where("key is not null")
     often = _often(index)
-    if often is None:
-        pairs = _meet(index, probe, edits)
-    else:
-        pairs = _meet(_other(index, often), _other(probe, often), edits)
-        pairs = reduce(DataFrame.union, [pairs, *_pairs_of_often(lines, index, probe, often, edits)])
-    pairs = stage(pairs.distinct(), "line-candidates")
+    if often is not None:
+        rests = _rests_of_often(lines, index, probe, often, edits)
+        # keys of rests are hashes of their own, so all meet in one join
+        index, probe = (reduce(DataFrame.unionByName, [_other(rows, often), *more]) for rows, more in zip((index, probe), zip(*rests)))
+    pairs = stage(_meet(index, probe, edits).distinct(), "line-candidates")
     held = _texts(lines, pairs.select(F.col("a").alias("h1")).union(pairs.select("b")))
     left, right = (held.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}_line")) for x in "ab")
     met = pairs.join(left, "a").join(right, "b")
@@ -199,9 +207,10 @@ def _edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
 def _texts(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     """h1, h2, line of the different lines with one of the first ``hashes``."""
     wanted = stage(hashes.distinct(), "line-wanted")
-    small = wanted.count() <= BROADCAST_LINES
+    count = wanted.count()
+    small = count <= BROADCAST_LINES
     held = lines.select("h1", "h2", "line").join(F.broadcast(wanted) if small else wanted, "h1", "left_semi")
-    return stage(held.groupBy("h1", "h2").agg(F.first("line").alias("line")), "line-texts")
+    return stage(few(held.groupBy("h1", "h2").agg(F.first("line").alias("line")), count), "line-texts")
 
 
 def _often(index: DataFrame) -> DataFrame | None:
@@ -211,23 +220,21 @@ def _often(index: DataFrame) -> DataFrame | None:
 
 
 def _other(rows: DataFrame, often: DataFrame) -> DataFrame:
-    return rows.join(often, "key", "left_anti")
+    return rows.join(often, "key", "left_anti").select(rows.columns)
 
 
 def _meet(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
-    """Pairs a < b of lines that share a key: two of the index, or one of the index and a probe."""
+    """Pairs a < b of lines that share a key: two of the index, or one of the index and a probe, each maybe more than once."""
     a = index.select(F.col("h1").alias("a"), F.col("letters").alias("a_letters"), "key")
-    sides = ((index, F.col("a") < F.col("b")), (probe, F.col("a") != F.col("b")))
-    close = counts_within(F.col("a_letters"), F.col("b_letters"), edits)
-    same, longer = (
-        a.join(b, (a["key"] == b["key"]) & on & close).select("a", "b")
-        for b, on in ((side.select(F.col("h1").alias("b"), F.col("letters").alias("b_letters"), "key"), on) for side, on in sides)
-    )
-    return same.union(longer.select(F.least("a", "b"), F.greatest("a", "b")))
+    both = index.withColumn("probing", F.lit(False)).unionByName(probe.withColumn("probing", F.lit(True)))
+    b = both.select(F.col("h1").alias("b"), F.col("letters").alias("b_letters"), "key", "probing")
+    on = (F.col("a") < F.col("b")) | (F.col("probing") & (F.col("a") != F.col("b")))
+    met = a.join(b, (a["key"] == b["key"]) & on & counts_within(F.col("a_letters"), F.col("b_letters"), edits))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _pairs_of_often(lines: DataFrame, index: DataFrame, probe: DataFrame, often: DataFrame, edits: int) -> list[DataFrame]:
-    """Pairs of the lines that share a key with many, by what is left of them without the shared segment.
+def _rests_of_often(lines: DataFrame, index: DataFrame, probe: DataFrame, often: DataFrame, edits: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Rows of the index and probes of the lines that share a key with many, by what is left of them without the shared segment.
 
     Two lines within some edits that agree in a segment are within these edits in what stands before and behind it together.
     So a key's lines are cut again without the segment, and keys that are still shared by many once more; what is left loses
@@ -240,15 +247,17 @@ def _pairs_of_often(lines: DataFrame, index: DataFrame, probe: DataFrame, often:
         fits = chars - shorter >= near_chars(edits)
         cuts += [_cut(F.when(fits, key), start, size, True, chars - shorter) for key, start, size, same in _probe(line, chars, edits, shorter) if not same]
     found = []
-    rows = _left(_texts(lines, hashes).select("h1", letter_counts(line).alias("letters"), line), cuts, often)
+    held = _texts(lines, hashes)
+    rows, count = _left(held.select("h1", letter_counts(line).alias("letters"), line), cuts, often), held.count()
     while True:
-        rows = stage(rows, "line-rests")
-        if rows.isEmpty():
-            return found
+        rows = stage(few(rows, count), "line-rests")
+        count = rows.count()
         short = rows.where(F.col("indexed") < near_chars(edits))
         variants = short.select("h1", "letters", "probing", F.explode(_deletions(edits)).alias("variant"), "group")
-        variants = variants.select("h1", "letters", "probing", F.xxhash64("group", "variant").alias("key"))
-        found.append(_meet(variants.where("not probing"), variants.where("probing"), edits))
+        variants = variants.select("h1", "letters", F.xxhash64("group", "variant").alias("key"), "probing")
+        found.append((variants.where("not probing").drop("probing"), variants.where("probing").drop("probing")))
+        if not count:
+            return found
         # the others are cut: rows of the index into segments, and all into the substrings that may equal one
         line, chars, group = F.col("line"), F.length("line"), F.col("group")
         own = [_cut(F.when(~F.col("probing"), key), start, size, False, chars) for key, start, size in _index(line, chars, edits, group)]
@@ -263,8 +272,8 @@ def _pairs_of_often(lines: DataFrame, index: DataFrame, probe: DataFrame, often:
         index, probe = keyed(own), keyed(other)
         often = _often(index)
         if often is None:
-            return [*found, _meet(index, probe, edits)]
-        found.append(_meet(_other(index, often), _other(probe, often), edits))
+            return [*found, (index, probe)]
+        found.append((_other(index, often), _other(probe, often)))
         rows = _left(longer.select("h1", "letters", "group", "probing", "indexed", "line"), [*own, *other], often)
 
 
@@ -300,12 +309,13 @@ def _dropped(links: DataFrame, places: DataFrame) -> DataFrame:
     ahead = F.col("a_at") < F.col("b_at")
     name = lambda x: F.concat_ws(":", f"{x}1", f"{x}2")
     open_ = placed.select(F.when(ahead, name("a")).otherwise(name("b")).alias("a"), F.when(ahead, name("b")).otherwise(name("a")).alias("b"))
-    open_, gone = stage(open_, "line-order"), []
-    while not open_.isEmpty():
+    open_, gone, count = stage(open_, "line-order"), [], links.count()
+    while count:
         stays = open_.join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        gone.append(stage(stays.select("b").distinct(), "line-gone"))
+        gone.append(stage(few(stays.select("b").distinct(), count), "line-gone"))
         left = open_.join(gone[-1], "b", "left_anti")
-        open_ = stage(left.join(gone[-1].select(F.col("b").alias("a")), "a", "left_anti"), "line-order")
+        open_ = stage(few(left.join(gone[-1].select(F.col("b").alias("a")), "a", "left_anti"), count), "line-order")
+        count = open_.count()
     if not gone:
         return places.where("false").select("h1", "h2")
     parts = F.split("b", ":")

@@ -1,6 +1,7 @@
 """Near duplicates of documents and lines, and leaked test items, against brute force."""
 
 import random
+import re
 from collections import Counter
 from functools import cache
 
@@ -210,6 +211,54 @@ def test_short_lines_have_classes(spark, edits):
     assert left == {1: "Menu\nMenu", 2: "Menu"}
 
 
+def test_line_keys_are_compiled(spark, capsys):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    lines = spark.range(3).select(F.repeat(F.col("id").cast("string"), 40).alias("line")).withColumn("chars", F.length("line"))
+    keys = [*ld.index_keys(F.col("line"), F.col("chars"), 2), *ld.probe_keys(F.col("line"), F.col("chars"), 2), ld.letter_counts(F.col("line"))]
+    lines.select(*keys).explain("codegen")
+    assert all(int(n) < 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_what_may_be_near(spark, edits):
+    """No near pair is told apart before its distance is found, and most others are."""
+    r, rows = random.Random(edits), []
+    for _ in range(600):
+        a = "".join(r.choice("abcdefgh é") for _ in range(r.randrange(2 * edits + 2, 60)))
+        b = edit(r, a, r.randrange(1, 2 * edits + 3))
+        while a and b and a[0] == b[0]:
+            a, b = a[1:], b[1:]
+        while a and b and a[-1] == b[-1]:
+            a, b = a[:-1], b[:-1]
+        if min(len(a), len(b)) > edits:
+            rows.append((a, b))
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("may", F.expr(ld._may_be_near("a", "b", edits)))
+    near = F.levenshtein("a", "b") <= edits
+    assert df.where(near & ~F.col("may")).collect() == []
+    assert df.where(~near & ~F.col("may")).count() > 20
+
+
+def test_lines_of_often_segments_equal_brute_force(spark, monkeypatch):
+    """Lines that share a segment with many, and others, meet in one join."""
+    monkeypatch.setattr(ld, "SHARED_LINES", 3)
+    r = random.Random(8)
+    bases = ["Price list of the year " + "".join(r.choice("abcdef") for _ in range(12)) for _ in range(10)] + ["".join(r.choice("ghijkl ") for _ in range(25)) for _ in range(6)]
+    rows = [(i, "\n".join(edit(r, r.choice(bases), r.randrange(4)) for _ in range(4))) for i in range(30)]
+    got = {(x.doc_id, x.line_no): (x.n_links, x.kept) for x in ld.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows, 2, 0)
+
+
+def test_small_graphs_take_few_tasks(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        found = components.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"))
+        assert len(found.inputFiles()) == 1 and {x.root for x in found.collect()} == {0}
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_op8_equals_brute_force(spark, small, texts, queries):
     rows = queries["op8_line_dedup"](spark, small).collect()
     assert len(rows) == sum(t.count("\n") + 1 for t in texts.values())
