@@ -21,10 +21,13 @@ SYMBOLS = "#*$%&|<>"
 #: Rules that hold without a model.
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-#: Labelled rows used for fitting, at most: those with the smallest hash of their id.
-SAMPLE_ROWS = 20_000
+#: Labelled rows whose ids are sent to all executors, at most; beyond that they are joined by a shuffle.
+BROADCAST_IDS = 400_000
 TREES = 120
 TREE_ROWS = 512
+#: Cuts of the anomaly among which the threshold is chosen.
+CUTS = 1 << 16
+RATIOS = 6
 #: Share of labelled good rows that the threshold must let pass.
 GOOD_KEPT = 0.995
 #: How far outside a node's rows a cut may lie, in standard deviations of all labelled rows.
@@ -147,37 +150,48 @@ def _anomaly(trees: list, x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / (max(len(trees), 1) * max(_average_path(TREE_ROWS), 1e-9)))
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ForestModel:
-    """Forest and threshold from at most ``sample_rows`` labelled rows that pass the base rules.
+def fit(stats: DataFrame, labels: DataFrame) -> ForestModel:
+    """Forest and threshold from the labelled rows that pass the base rules.
 
+    A tree is grown on ``TREE_ROWS`` good rows, as the method asks; they are drawn from as many good rows as all trees take, those
+    with the least hash. The spread of the ratios and the counts behind the threshold are those of all labelled rows.
     Without labelled good rows no tree is grown and the threshold is above every score, so nothing is rejected.
     """
     chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
-    chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    names = STATISTICS + EXTRA
-    # twice as many labels as rows: some of them have no document or fail a base rule
-    chosen = F.broadcast(smallest(chosen, F.xxhash64("doc_id"), 2 * sample_rows, chosen.count()))
-    rows = stats.where(~base_failed()).join(chosen, "doc_id").select(F.xxhash64("doc_id").alias("order"), "quality", *names)
-    rows = rows.orderBy("order", "quality", *names).limit(sample_rows).drop("order")
-    seen = np.array([tuple(r) for r in rows.collect()], float).reshape(-1, 1 + len(names))
-    good = seen[:, 0] == 1
-    if not good.any():
+    chosen = stage(chosen.groupBy("doc_id").agg(F.min("quality").alias("quality")), "rule-labels")
+    names, ratios = STATISTICS + EXTRA, [f"x{k}" for k in range(RATIOS)]
+    joined = stats.where(~base_failed()).join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, "doc_id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix({c: batch.column(c).to_numpy(zero_copy_only=False) for c in names})
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("quality"), *map(pa.array, x.T)], ["order", "quality", *ratios])
+
+    kinds = "order bigint, quality int, " + ", ".join(f"{x} double" for x in ratios)
+    rows = stage(map_arrow(joined.select(F.xxhash64("doc_id").alias("order"), "quality", *names), cut, kinds), "rule-labelled")
+    spread = rows.agg(F.coalesce(F.sum("quality"), F.lit(0)), *(F.stddev_pop(x) for x in ratios)).first()
+    n_good = spread[0]
+    if not n_good:
         return ForestModel([], 2.0)
-    x = _matrix({c: seen[:, k + 1] for k, c in enumerate(names)})
+    drawn = smallest(rows.where("quality = 1").drop("quality"), F.col("order"), TREES * TREE_ROWS, n_good)
+    normal = np.array([tuple(r)[1:] for r in drawn.collect()], float)
     random = np.random.default_rng(SEED)
-    normal = x[good]
-    margin = MARGIN * x.std(0)
+    margin = MARGIN * np.array(spread[1:], float)
     trees = [_grow(normal[random.integers(0, len(normal), TREE_ROWS)], margin, random) for _ in range(TREES)]
-    a = _anomaly(trees, x)
-    least = float(np.quantile(a[good], GOOD_KEPT))
-    if good.all():
-        return ForestModel(trees, least + 1e-9)
-    # of the cuts that let enough good rows pass, the one with the most rejected bad and kept good rows
-    cuts = np.unique(a[a >= least]) + 1e-9
-    order_good, order_bad = np.sort(a[good]), np.sort(a[~good])
-    kept = np.searchsorted(order_good, cuts) / len(order_good)
-    caught = 1 - np.searchsorted(order_bad, cuts) / len(order_bad)
-    return ForestModel(trees, float(cuts[np.argmax(kept + caught)]) if len(cuts) else least + 1e-9)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = _anomaly(trees, np.column_stack([batch.column(x).to_numpy() for x in ratios]))
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(np.floor(a * CUTS).astype(np.int64))], ["quality", "cell"])
+
+    counted = map_arrow(rows, score, "quality int, cell bigint").groupBy("cell").agg(F.sum("quality"), F.count(F.lit(1))).collect()
+    cells, good, all_ = np.array(sorted(map(tuple, counted)), np.int64).T
+    bad = all_ - good
+    # a cut above a cell lets it pass; of the cuts that let enough good rows pass, the one with the most rejected bad and kept good rows
+    kept, caught = np.cumsum(good) / n_good, 1 - np.cumsum(bad) / max(bad.sum(), 1)
+    enough = np.flatnonzero(kept >= GOOD_KEPT)
+    best = enough[np.argmax((kept + caught)[enough])] if bad.any() else enough[0]
+    return ForestModel(trees, float((cells[best] + 1) / CUTS))
 
 
 def judge(stats: DataFrame, model: ForestModel) -> DataFrame:
@@ -194,11 +208,11 @@ def judge(stats: DataFrame, model: ForestModel) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(model.threshold)))
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): the statistics, anomaly, base_failed and kept.
 
     Null ids stay; repeated rows are judged each. The statistics of all rows are written out once, since fitting and
     judging both read them.
     """
     stats = stage(with_statistics(documents), "rule-statistics")
-    return judge(stats, fit(stats, labels, sample_rows))
+    return judge(stats, fit(stats, labels))

@@ -71,6 +71,16 @@ def test_forest_of_odd_rows(odd, empty, spark):
     assert all(r.kept != r.base_failed for r in none)
 
 
+def test_all_labelled_rows_set_the_threshold(spark):
+    """Good rows of another sort, which the 20,000 rows with the least hash lack, must pass as well."""
+    ids = [r[0] for r in spark.range(24_000).orderBy(F.xxhash64("id")).collect()]
+    rows = spark.createDataFrame([(i, int(k >= 20_000)) for k, i in enumerate(ids)], "doc_id long, other int")
+    figures = {c: F.lit(0) for c in ir.STATISTICS + ir.EXTRA} | {"n_words": F.lit(100), "word_chars": 500 + F.col("doc_id") % 40, "n_lines": F.lit(5), "n_upper": 60 * F.col("other") + F.col("doc_id") % 7}
+    stats = rows.select("doc_id", "other", *(v.cast("long").alias(c) for c, v in figures.items()))
+    model = ir.fit(stats, rows.select("doc_id", F.lit(1).alias("quality")))
+    assert ir.judge(stats, model).where("kept").count() >= ir.GOOD_KEPT * 24_000
+
+
 PATTERNS = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12),
     "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
