@@ -184,6 +184,14 @@ def test_novelty_tells_random_strings_from_identifiers(length, least, most_false
     assert sum(map(reported, names)) <= most_false * 300
 
 
+def test_dictionary_counts_all_labelled_texts(spark):
+    """A word that the 400 texts with the least hash of their id lack."""
+    ids = [r[0] for r in spark.range(600).orderBy(F.xxhash64("id")).collect()]
+    df = spark.createDataFrame([(i, "alpha beta" if k < 400 else "gamma_rays") for k, i in enumerate(ids)] + [(1000, "unlabelled")], "doc_id long, text string")
+    words = ss.identifier_dictionary(df, df.where("doc_id < 600")).decode().split()
+    assert {"alpha", "beta", "gamma_rays"} <= set(words) and "unlabelled" not in words
+
+
 def test_secrets_of_odd_rows(odd, empty):
     dictionary = ss.identifier_dictionary(odd, odd)
     assert ss.scan(odd, dictionary).count() == len(ODD)
