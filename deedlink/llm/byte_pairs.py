@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from deedlink.llm.common import map_arrow, texts
+from deedlink.llm.common import map_arrow, memory, texts
 
 #: States that a worker remembers (about 2 KB each with the pieces and pairs that go with them); emptied when full.
 REMEMBERED_STATES = 200_000
@@ -219,11 +219,11 @@ class Utf8Machine:
             yield "�"
 
 
-_loaded: dict[tuple[int, int], tuple[Transducer, Utf8Machine]] = {}
+_loaded: dict[tuple[int, int], tuple[Transducer, Utf8Machine]] = memory(__name__)
 
 
 def _loaded_once(ranks: dict[bytes, int], key: int, states: int) -> tuple[Transducer, Utf8Machine]:
-    """A worker keeps the transducer of the last vocabulary over its tasks."""
+    """A worker keeps the transducer of the last vocabulary over its tasks, until one of another operator comes."""
     if (key, states) not in _loaded:
         _loaded.clear()
         _loaded[key, states] = Transducer(ranks, states), Utf8Machine()

@@ -54,3 +54,24 @@ def test_good_documents_are_those_the_classifier_keeps(spark, small):
     model = cq.fit(docs, spark.read.parquet(f"{small}/labels.parquet"), cq.fold(F.col("doc_id")) != 2)
     want = {r.doc_id for r in cq.score(docs, model, "s").where("s >= 0.7").collect()}
     assert {r.doc_id for r in cp.STAGES[0][1](spark, docs, small).collect()} == want
+
+
+def test_workers_forget_the_transducer(spark):
+    """A worker that turns to another operator gives up what encoding has left in it."""
+    from deedlink.llm import byte_pairs
+    from deedlink.llm.common import map_arrow
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256}
+    one = spark.createDataFrame([(1, "abba")], "doc_id long, text string").coalesce(1)
+
+    def left(batches):
+        import pyarrow as pa
+
+        from deedlink.llm import byte_pairs
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(byte_pairs._loaded)] * batch.num_rows, pa.int64())], ["n"])
+
+    for _ in range(3):
+        assert byte_pairs.tokens(one, ranks, r"\w+", ["n_tokens"]).collect()[0].n_tokens == 3
+        assert map_arrow(one, left, "n long").collect()[0].n == 0
