@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from deedlink.llm.common import map_arrow, smallest, stage, texts
+from deedlink.llm.common import map_arrow, stage, texts
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -153,8 +153,8 @@ def _anomaly(trees: list, x: np.ndarray) -> np.ndarray:
 def fit(stats: DataFrame, labels: DataFrame) -> ForestModel:
     """Forest and threshold from the labelled rows that pass the base rules.
 
-    A tree is grown on ``TREE_ROWS`` good rows, as the method asks; they are drawn from as many good rows as all trees take, those
-    with the least hash. The spread of the ratios and the counts behind the threshold are those of all labelled rows.
+    A tree is grown on ``TREE_ROWS`` good rows, as the method asks; they are drawn from about as many good rows as all trees
+    take, those with the least hash. The spread of the ratios and the counts behind the threshold are those of all labelled rows.
     Without labelled good rows no tree is grown and the threshold is above every score, so nothing is rejected.
     """
     chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
@@ -173,8 +173,11 @@ def fit(stats: DataFrame, labels: DataFrame) -> ForestModel:
     n_good = spread[0]
     if not n_good:
         return ForestModel([], 2.0)
-    drawn = smallest(rows.where("quality = 1").drop("quality"), F.col("order"), TREES * TREE_ROWS, n_good)
-    normal = np.array([tuple(r)[1:] for r in drawn.collect()], float)
+    # by a bound of the hash, so that no task sorts them all
+    bound = -(1 << 63) + (1 << 64) * min(TREES * TREE_ROWS, n_good) // n_good - 1
+    good_rows = rows.where("quality = 1").drop("quality")
+    drawn = good_rows.where(F.col("order") <= F.lit(bound)).collect() or good_rows.limit(TREE_ROWS).collect()  # few ids, repeated often
+    normal = np.array(sorted(map(tuple, drawn)), float)[:, 1:]
     random = np.random.default_rng(SEED)
     margin = MARGIN * np.array(spread[1:], float)
     trees = [_grow(normal[random.integers(0, len(normal), TREE_ROWS)], margin, random) for _ in range(TREES)]
