@@ -5,6 +5,7 @@ segment untouched, and it lies in the longer line at a place that the edits befo
 its segments, and probes the indexes of its own and of shorter lengths with the few substrings that can match.
 A segment that many lines share (a prefix of addresses, the frame of a table) says little: its lines are cut again without it,
 since what is left of two such lines is within t edits too, and so on until few lines share a segment or hardly anything is left.
+Lines that share a segment with more than a few meet only where the pairs of neighbouring letters of the whole lines allow it, too.
 Candidates are verified by a bit-parallel edit distance in a band of 2 t + 1 diagonals. Lines too short for that are linked only
 to equal ones.
 """
@@ -26,6 +27,10 @@ MIN_CHARS = 0
 MIN_DROPPED_CHARS = 20
 #: Lines that may share a segment before they are told apart by what is left of them.
 SHARED_LINES = 200
+#: Lines that may share a segment before their pairs of neighbouring letters are compared; few enough that these pass as candidates.
+FEW_LINES = 10
+#: Bits for the pairs of neighbouring letters of a line, in words of 64.
+PAIR_BITS = 256
 #: Frequent letters whose counts tell most candidates apart before they are verified.
 LETTERS = "etaoinsr"
 #: Line hashes that are sent to all executors, at most; beyond that they are joined by a shuffle.
@@ -33,6 +38,7 @@ BROADCAST_LINES = 400_000
 #: Dropped lines whose places are sent to all executors, at most; beyond that the texts are shuffled to them.
 BROADCAST_DROPPED = 1_000_000
 _LINES_OF_A_DOCUMENT = 1 << 31
+_NO_PAIRS = "cast(null as array<bigint>)"
 
 
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -104,6 +110,25 @@ def counts_within(a: Column, b: Column, edits: int) -> Column:
     return total <= 2 * edits
 
 
+def pair_parities(line: str) -> Column:
+    """For each of ``PAIR_BITS`` hashes, whether an odd number of pairs of neighbouring characters in column ``line`` have it.
+
+    The last character is paired with the end, so the order of the characters counts, other than in ``letter_counts``.
+    """
+    words = [
+        f"aggregate(pairs, 0L, (bits, h) -> if(shiftrightunsigned(h, 6) % {PAIR_BITS // 64} = {w}, bits ^ shiftleft(1L, cast(h & 63 as int)), bits))"
+        for w in range(PAIR_BITS // 64)
+    ]
+    pairs = _let("chars", f"split({line}, '')", "transform(chars, (c, i) -> xxhash64(c, get(chars, i + 1)))")
+    return F.expr(_let("pairs", pairs, f"array({', '.join(words)})"))
+
+
+def pairs_within(a: Column, b: Column, edits: int) -> Column:
+    """Whether pair parities are as close as ``edits`` edits leave them: an edit takes two pairs away and adds two at most."""
+    apart = [F.bit_count(F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))) for w in range(PAIR_BITS // 64)]
+    return reduce(lambda total, x: total + x, apart) <= 4 * edits
+
+
 def _let(name: str, value: str, body: str) -> str:
     """SQL for ``body`` in which ``name`` stands for ``value``."""
     return f"transform(array({value}), {name} -> {body})[0]"
@@ -192,11 +217,11 @@ def _edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     probes = [c for c in distinct.columns if c.startswith("p_")]
     index = distinct.select("h1", "letters", F.explode(F.array(*own)).alias("key"))
     probe = distinct.select("h1", "letters", F.explode(F.array(*probes)).alias("key")).where("key is not null")
-    often = _often(index)
-    if often is not None:
-        rests = _rests_of_often(lines, index, probe, often, edits)
-        # keys of rests are hashes of their own, so all meet in one join
-        index, probe = (reduce(DataFrame.unionByName, [_other(rows, often), *more]) for rows, more in zip((index, probe), zip(*rests)))
+    shared = _shared(index, min(FEW_LINES, SHARED_LINES))
+    if shared is None:
+        index, probe = (rows.withColumn("pairs", F.expr(_NO_PAIRS)) for rows in (index, probe))
+    else:
+        index, probe = _told_apart(lines, index, probe, shared, edits)
     pairs = stage(_meet(index, probe, edits).distinct(), "line-candidates")
     held = _texts(lines, pairs.select(F.col("a").alias("h1")).union(pairs.select("b")))
     left, right = (held.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}_line")) for x in "ab")
@@ -213,48 +238,63 @@ def _texts(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     return stage(few(held.groupBy("h1", "h2").agg(F.first("line").alias("line")), count), "line-texts")
 
 
-def _often(index: DataFrame) -> DataFrame | None:
-    """Keys that more than ``SHARED_LINES`` indexed lines share; None without any."""
-    found = stage(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARED_LINES).select("key"), "line-often")
+def _shared(index: DataFrame, lines: int) -> DataFrame | None:
+    """key, n of the keys that more than so many indexed lines share; None without any."""
+    found = stage(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > lines), "line-shared")
     return None if found.isEmpty() else found
 
 
+def _told_apart(lines: DataFrame, index: DataFrame, probe: DataFrame, shared: DataFrame, edits: int) -> list[DataFrame]:
+    """``index`` and ``probe`` with pair parities (null where few lines share a key), and with rests instead of what too many share."""
+    hashes = [rows.join(shared, "key", "left_semi").select("h1") for rows in (index, probe)]
+    held = _texts(lines, hashes[0].union(hashes[1]))
+    held = stage(held.select("h1", letter_counts(F.col("line")).alias("letters"), pair_parities("line").alias("pairs"), "line"), "line-pairs")
+    often, some = shared.where(F.col("n") > SHARED_LINES), shared.where(F.col("n") <= SHARED_LINES)
+    # keys of rests are hashes of their own, so all meet in one join
+    rests = [] if often.isEmpty() else _rests_of_often(held, often, edits)
+    out = []
+    for k, rows in enumerate((index, probe)):
+        paired = rows.join(some, "key", "left_semi").join(held.select("h1", "pairs"), "h1")
+        parts = [_other(rows, shared).withColumn("pairs", F.expr(_NO_PAIRS)), paired, *(rest[k] for rest in rests)]
+        out.append(reduce(DataFrame.unionByName, parts))
+    return out
+
+
 def _other(rows: DataFrame, often: DataFrame) -> DataFrame:
     return rows.join(often, "key", "left_anti").select(rows.columns)
 
 
 def _meet(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
     """Pairs a < b of lines that share a key: two of the index, or one of the index and a probe, each maybe more than once."""
-    a = index.select(F.col("h1").alias("a"), F.col("letters").alias("a_letters"), "key")
+    a = index.select(F.col("h1").alias("a"), F.col("letters").alias("a_letters"), F.col("pairs").alias("a_pairs"), "key")
     both = index.withColumn("probing", F.lit(False)).unionByName(probe.withColumn("probing", F.lit(True)))
-    b = both.select(F.col("h1").alias("b"), F.col("letters").alias("b_letters"), "key", "probing")
+    b = both.select(F.col("h1").alias("b"), F.col("letters").alias("b_letters"), F.col("pairs").alias("b_pairs"), "key", "probing")
     on = (F.col("a") < F.col("b")) | (F.col("probing") & (F.col("a") != F.col("b")))
-    met = a.join(b, (a["key"] == b["key"]) & on & counts_within(F.col("a_letters"), F.col("b_letters"), edits))
+    near = counts_within(F.col("a_letters"), F.col("b_letters"), edits) & F.coalesce(pairs_within(F.col("a_pairs"), F.col("b_pairs"), edits), F.lit(True))
+    met = a.join(b, (a["key"] == b["key"]) & on & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _rests_of_often(lines: DataFrame, index: DataFrame, probe: DataFrame, often: DataFrame, edits: int) -> list[tuple[DataFrame, DataFrame]]:
-    """Rows of the index and probes of the lines that share a key with many, by what is left of them without the shared segment.
+def _rests_of_often(held: DataFrame, often: DataFrame, edits: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Rows of the index and probes of the lines ``held`` that share a key with many, by what is left of them without the shared segment.
 
     Two lines within some edits that agree in a segment are within these edits in what stands before and behind it together.
     So a key's lines are cut again without the segment, and keys that are still shared by many once more; what is left loses
     at least a third each time. When less than ``near_chars`` is left, lines meet in what remains of them after deletions.
     """
-    hashes = index.join(often, "key", "left_semi").select("h1").union(probe.join(often, "key", "left_semi").select("h1"))
     line, chars = F.col("line"), F.length("line")
     cuts = [_cut(key, start, size, False, chars) for key, start, size in _index(line, chars, edits)]
     for shorter in range(edits + 1):
         fits = chars - shorter >= near_chars(edits)
         cuts += [_cut(F.when(fits, key), start, size, True, chars - shorter) for key, start, size, same in _probe(line, chars, edits, shorter) if not same]
     found = []
-    held = _texts(lines, hashes)
-    rows, count = _left(held.select("h1", letter_counts(line).alias("letters"), line), cuts, often), held.count()
+    rows, count = _left(held, cuts, often), held.count()
     while True:
         rows = stage(few(rows, count), "line-rests")
         count = rows.count()
         short = rows.where(F.col("indexed") < near_chars(edits))
-        variants = short.select("h1", "letters", "probing", F.explode(_deletions(edits)).alias("variant"), "group")
-        variants = variants.select("h1", "letters", F.xxhash64("group", "variant").alias("key"), "probing")
+        variants = short.select("h1", "letters", "pairs", "probing", F.explode(_deletions(edits)).alias("variant"), "group")
+        variants = variants.select("h1", "letters", "pairs", F.xxhash64("group", "variant").alias("key"), "probing")
         found.append((variants.where("not probing").drop("probing"), variants.where("probing").drop("probing")))
         if not count:
             return found
@@ -268,13 +308,13 @@ def _rests_of_often(lines: DataFrame, index: DataFrame, probe: DataFrame, often:
                 # rows of the index have met in their own segments
                 other.append(_cut(F.when(fits & (F.col("probing") if same else F.lit(True)), key), start, size, True, chars - shorter))
         longer = rows.where(F.col("indexed") >= near_chars(edits))
-        keyed = lambda cuts: longer.select("h1", "letters", F.explode(F.array(*[c["key"] for c in cuts])).alias("key")).where("key is not null")
+        keyed = lambda cuts: longer.select("h1", "letters", "pairs", F.explode(F.array(*[c["key"] for c in cuts])).alias("key")).where("key is not null")
         index, probe = keyed(own), keyed(other)
-        often = _often(index)
+        often = _shared(index, SHARED_LINES)
         if often is None:
             return [*found, (index, probe)]
         found.append((_other(index, often), _other(probe, often)))
-        rows = _left(longer.select("h1", "letters", "group", "probing", "indexed", "line"), [*own, *other], often)
+        rows = _left(longer.select("h1", "letters", "pairs", "group", "probing", "indexed", "line"), [*own, *other], often)
 
 
 def _cut(key: Column, start: Column, size: Column, probing: bool, indexed: Column) -> Column:
@@ -284,9 +324,9 @@ def _cut(key: Column, start: Column, size: Column, probing: bool, indexed: Colum
 
 def _left(rows: DataFrame, cuts: list[Column], often: DataFrame) -> DataFrame:
     """For each of the ``often`` keys of a line: what is left without the segment. ``indexed``: what is left of indexed lines."""
-    keyed = rows.select("h1", "letters", "line", F.inline(F.array(*cuts))).where("key is not null").join(often, "key", "left_semi")
+    keyed = rows.select("h1", "letters", "pairs", "line", F.inline(F.array(*cuts))).where("key is not null").join(often, "key", "left_semi")
     rest = F.expr("concat(substring(line, 1, start), substring(line, start + size + 1, length(line)))")
-    return keyed.select("h1", "letters", F.col("key").alias("group"), F.col("probe").alias("probing"), F.col("rest").alias("indexed"), rest.alias("line")).distinct()
+    return keyed.select("h1", "letters", "pairs", F.col("key").alias("group"), F.col("probe").alias("probing"), F.col("rest").alias("indexed"), rest.alias("line")).distinct()
 
 
 def _deletions(edits: int) -> Column:

@@ -248,6 +248,36 @@ def test_lines_of_often_segments_equal_brute_force(spark, monkeypatch):
     assert got == brute_lines(rows, 2, 0)
 
 
+@pytest.mark.parametrize("shared", [200, 30])
+def test_near_copies_are_told_apart_before_they_are_rows(spark, monkeypatch, shared):
+    """Lines with one more word each of the same letters: every two share a segment, none are linked."""
+    monkeypatch.setattr(ld, "SHARED_LINES", shared)
+    met, meet = [], ld._meet
+    monkeypatch.setattr(ld, "_meet", lambda *a: met.append(meet(*a)) or met[-1])
+    r = random.Random(12)
+    base, lines = "".join(r.choice("abcdefgh  ") for _ in range(300)), set()
+    while len(lines) < 150:
+        at = r.randrange(301)
+        lines.add(base[:at] + "".join(r.sample("jklmqvwxyz", 10)) + base[at:])
+    rows = [(i, x) for i, x in enumerate([*sorted(lines), base + "jk", base + "kj"])]
+    got = ld.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_links for x in got} == {i: int(i >= 150) for i, _ in rows}
+    assert met[0].count() < 20
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_pair_parities_let_all_near_lines_pass(spark, edits):
+    r, rows = random.Random(edits), []
+    for k in range(400):
+        a = "".join(r.choice("abcdefghijklmnopqrstuvwxyz é😀") for _ in range(r.randrange(1, 90)))
+        rows.append((a, edit(r, a, r.randrange(edits + 1)) if k % 2 else "".join(r.sample(a, len(a)))))
+    df = spark.createDataFrame(rows, "a string, b string")
+    df = df.select(ld.pairs_within(ld.pair_parities("a"), ld.pair_parities("b"), edits).alias("may"), (F.levenshtein("a", "b") <= edits).alias("near"))
+    counts = {(x.may, x.near): x["count"] for x in df.groupBy("may", "near").count().collect()}
+    assert (False, True) not in counts and counts[True, True] >= 200
+    assert counts[False, False] > 140
+
+
 def test_small_graphs_take_few_tasks(spark):
     key = "spark.sql.adaptive.coalescePartitions.enabled"
     before = spark.conf.get(key)
