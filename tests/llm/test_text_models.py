@@ -399,6 +399,27 @@ def test_licences_equal_plain_scores(spark, small, documents, texts):
     assert sum(f in got[i][0].split(",") for i, f in long) >= 0.9 * len(long)
 
 
+def corpus_with_rare_lines(spark):
+    """6,000 lines, and twelve lines of the greatest hashes that hold one word of a notice."""
+    filler = [f"{prose(i, 12)} {i}" for i in range(6000)]
+    marked = spark.createDataFrame([(f"{prose(i, 5)} unencumbered {prose(i + 7, 6)} {i}",) for i in range(600)], "line string")
+    last = [r.line for r in marked.orderBy(F.xxhash64("line").desc()).limit(12).collect()]
+    return spark.createDataFrame([(i, "\n".join([*filler[i::50], *last[i::50]])) for i in range(50)], "doc_id long, text string")
+
+
+def test_licence_model_counts_all_lines(spark):
+    """A word in more than one of a thousand lines is left out, wherever its lines stand in an order by hash."""
+    assert "unencumbered" not in {g for g, _, _ in lp.fit(corpus_with_rare_lines(spark)).weights}
+
+
+def test_words_are_cut_as_by_their_definition(spark):
+    r, marks = random.Random(3), "ab9Z.+-,/:`{~ \t\r\u00e9\u2028\U0001f600_[@!*()"
+    rows = [("".join(r.choice(marks) for _ in range(r.randrange(30))),) for _ in range(500)]
+    plain = F.regexp_replace(F.lower("text"), r"[^a-z0-9.+]+|\.+(?=[^a-z0-9]|$)", " ")
+    df = spark.createDataFrame(rows, "text string").select(lp.words_of(F.col("text")).alias("got"), F.filter(F.split(F.trim(plain), " +"), lambda w: w != "").alias("want"))
+    assert df.where(F.to_json(F.struct(F.col("got").alias("x"))) != F.to_json(F.struct(F.col("want").alias("x")))).collect() == []
+
+
 def test_copies_of_a_line_fill_no_sample(spark):
     lines = [(i, f"the very same line of every document there is\n{prose(i, 12)}") for i in range(300)]
     df = spark.createDataFrame(lines, "doc_id long, text string")
