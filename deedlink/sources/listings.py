@@ -120,13 +120,16 @@ def read_lines(spark: SparkSession, directory: str) -> DataFrame:
     return scanned.join(F.broadcast(blocks), ["file", "block"]).select("file", row.alias("row"), "value")
 
 
+def _parsed(value: Column, width: int) -> Column:
+    """One line as a struct of text cells c0, c1, ..., by Spark's own CSV parser; cells that a line lacks are null."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    return F.from_csv(value, schema, {"escape": '"', "maxColumns": str(max(width, 512) * 2)})
+
+
 def _cells(value: Column, width: int) -> Column:
-    """One line as an array of trimmed text cells, by Spark's own CSV parser."""
-    names = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{n} string" for n in names)
-    parsed = F.from_csv(value, schema, {"escape": '"', "maxColumns": str(max(width, 512) * 2)})
+    """One line as an array of trimmed text cells; for few lines, see ``cells_of_lines``."""
     # bound to a variable, the parsed line is made once; named in every cell, it would be made once a cell
-    lines = F.transform(F.array(parsed), lambda p: F.array(*[trimmed(null_to_blank(p[n])) for n in names]))
+    lines = F.transform(F.array(_parsed(value, width)), lambda p: F.array(*[trimmed(null_to_blank(p[f"c{i}"])) for i in range(width)]))
     return F.get(lines, F.lit(0))
 
 
@@ -140,13 +143,22 @@ def numbered(cells: Column) -> Column:
     return F.transform(cells, name)
 
 
-def find_headers(lines: DataFrame, width: int) -> DataFrame:
-    """(file, header_row, names, last_row): the first line of each file that holds all header marks as cells."""
+def marked_lines(lines: DataFrame) -> DataFrame:
+    """The lines that hold all header marks somewhere, which a header does."""
+    return lines.filter(reduce(and_, [F.col("value").contains(mark) for mark in HEADER_MARKS]))
+
+
+def find_headers(lines: DataFrame, width: int, marked: DataFrame | None = None) -> DataFrame:
+    """(file, header_row, names, last_row): the first line of each file that holds all header marks as cells.
+
+    ``marked``: the marked lines of ``lines``, where they are known already.
+    """
     has_marks = reduce(and_, [F.col("value").contains(mark) for mark in HEADER_MARKS])
     heads = F.filter(F.array(_cells(F.col("value"), width)), lambda c: reduce(and_, [F.array_contains(c, mark) for mark in HEADER_MARKS]))
     # the test stands inside the value too: Spark may look for a missing value before it filters, and would cut every line
     head = F.when(has_marks, F.get(F.transform(heads, lambda c: F.struct(F.col("row").alias("header_row"), c.alias("cells"))), F.lit(0)))
-    heads = lines.filter(has_marks).select("file", head.alias("head")).groupBy("file").agg(F.min("head").alias("head")).select("file", "head.*")
+    marked = marked_lines(lines) if marked is None else marked
+    heads = marked.select("file", head.alias("head")).groupBy("file").agg(F.min("head").alias("head")).select("file", "head.*")
     ends = lines.groupBy("file").agg(F.max("row").alias("last_row"))
     return ends.join(heads, "file", "left").withColumn("names", numbered(F.col("cells"))).drop("cells")
 
@@ -170,15 +182,18 @@ def header_problems(headers: DataFrame) -> list[str]:
     ]
 
 
-def header_width(lines: DataFrame) -> int:
-    """Widest line that may be a header, in cells."""
-    marked = lines
-    for mark in HEADER_MARKS:
-        marked = marked.filter(F.col("value").contains(mark))
+def header_width(marked: DataFrame) -> int:
+    """Widest of the marked lines, which may be headers, in cells."""
     width = marked.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))))).first()[0]
     return (width or 0) + 1
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """``lines`` in as many partitions as tasks can run at least; a small table may come in a few splits, and cutting takes its time a line."""
+    tasks = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(tasks, "file", "row") if lines.rdd.getNumPartitions() < tasks else lines
+
+
 def read_listing_cells(spark: SparkSession, directory: str) -> DataFrame:
     """All export rows as text under the known column names, with ``file``, ``rowIndex`` and ``ord``."""
     if not list_exports(spark, directory):
@@ -188,8 +203,10 @@ def read_listing_cells(spark: SparkSession, directory: str) -> DataFrame:
 
 def cells_of_lines(lines: DataFrame) -> DataFrame:
     """As ``read_listing_cells``, from lines as (file, row, value); ``row`` orders the lines of a file."""
-    width = header_width(lines)
-    headers = cut_lineage(find_headers(lines, width))
+    # one look through the lines for both uses
+    marked = cut_lineage(marked_lines(lines))
+    width = header_width(marked)
+    headers = cut_lineage(find_headers(lines, width, marked))
     problems = header_problems(headers)
     if problems:
         raise ValueError("; ".join(problems))
@@ -199,18 +216,21 @@ def cells_of_lines(lines: DataFrame) -> DataFrame:
     places = F.array(*[(F.nullif(F.array_position("names", n), F.lit(0)) - 1).cast("int") for n in names])
     ranked = ranked.withColumn("places", places).drop("names", "last_row")
     # the driver lists the files, so a row per file is small however many lines a file has
-    rows = lines.join(F.broadcast(ranked), "file").filter(F.col("row") > F.col("header_row"))
-    cells = F.array(_cells(F.col("value"), width))
-    known = F.transform(cells, lambda c: F.struct(*[F.get(c, F.col("places")[i]).alias(n) for i, n in enumerate(names)]))
+    rows = spread(lines).join(F.broadcast(ranked), "file").filter(F.col("row") > F.col("header_row"))
     place = F.shiftleft(F.col("file_rank").cast("long"), ROW_BITS) + F.col("row")
     fits = (F.col("row") < (1 << ROW_BITS)) & (F.col("file_rank") < (1 << (63 - ROW_BITS)))
-    return rows.select(
+    rows = rows.select(
         "file",
         (F.col("row") - F.col("header_row") - 1).alias("rowIndex"),
         F.when(fits, place).otherwise(F.raise_error(F.lit("too many files or rows for one order")).cast("long")).alias("ord"),
-        # a generator's columns are made once a row: filters on them aren't moved below it, where they would parse the line again
-        F.inline_outer(known),
+        "places",
+        # a generator's columns are made once a row: filters on cells aren't moved below it, where they would parse the line again.
+        # Nothing but the parser stands in it, since Spark interprets it and would work out the types of what stands there for every row
+        F.inline_outer(F.array(_parsed(F.col("value"), width))),
     )
+    cells = F.array(*[null_to_blank(f"c{i}") for i in range(width)])
+    rows = rows.select("file", "rowIndex", "ord", "places", cells.alias("cells"))
+    return rows.select("file", "rowIndex", "ord", *[trimmed(F.get("cells", F.col("places")[i])).alias(n) for i, n in enumerate(names)])
 
 
 def typed_listings(cells: DataFrame) -> DataFrame:

@@ -49,3 +49,22 @@ def test_lines_are_numbered_without_a_shuffle_of_the_lines(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     assert got == [(name, i, value) for name in ("_a.csv", "b.csv") for i, value in enumerate(("one", "two", "three"))]
+
+
+def test_cutting_is_compiled_and_spread(spark):
+    lines = _lines(spark).coalesce(1)
+    cells = cells_of_lines(lines)
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    # Spark interprets what stands in a generator, so nothing but the parser stands there
+    made = [line for line in plan.splitlines() if "Generate" in line]
+    assert len(made) == 1 and "from_csv(" in made[0] and "transform(" not in made[0] and "trim(" not in made[0]
+    assert cells.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.ord for r in cells.collect()) == sorted(r.ord for r in cells_of_lines(_lines(spark)).collect())
+
+
+def test_listing_cells_cuts_lines_once(spark):
+    from deedlink.workloads import load_all
+
+    got = load_all()["listing_cells"].run(spark, "/root/testdata/sf0.001")
+    assert "from_csv(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.file for r in got.collect()) == ["QA_Magnolia Sale Stats.csv", "Sold And Stats - NW.csv"]
