@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from deedlink.llm.common import map_arrow, memory, texts
 REMEMBERED_STATES = 200_000
 #: Pieces and pairs of tokens that are remembered for a state.
 PIECES_A_STATE, PAIRS_A_STATE = 2, 4
+#: Tokens from which on the rows encoded so far are handed over; a worker holds no more of them than this and a text's.
+HELD_TOKENS = 200_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -42,10 +45,19 @@ class Transducer:
             raise ValueError(f"the ranks lack single bytes: {missing[:5]}")
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        growing = {token[:k] for token in ranks for k in range(1, len(token))}
-        # prefixes of tokens as numbers: (number of the prefix, byte) -> number, token or -1, whether it grows on
-        number = {b"": 0} | {prefix: k for k, prefix in enumerate(sorted(growing | ranks.keys()), 1)}
-        self._grow = {number[p[:-1]] << 8 | p[-1]: (k, ranks.get(p, -1), p in growing) for p, k in number.items() if p}
+        # prefixes of tokens as numbers from 0, the empty one: number of the prefix << 8 | byte -> number; by number: token or -1, whether it grows on
+        self._next: dict[int, int] = {}
+        self._token, self._grows = array("i", [-1]), bytearray(1)
+        for token, rank in ranks.items():
+            at = 0
+            for byte in token:
+                self._grows[at] = 1
+                key = at << 8 | byte
+                at = self._next.setdefault(key, len(self._grows))
+                if at == len(self._grows):
+                    self._token.append(-1)
+                    self._grows.append(0)
+            self._token[at] = rank
         self._ends: dict[int, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]] = {}
         self._pairs: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
@@ -100,13 +112,14 @@ class Transducer:
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The arc for ``byte``: next state and emitted tokens."""
-        lives, end, grow, pairs = [], None, self._grow.get, self._pairs.get
+        lives, end, grow, pairs = [], None, self._next.get, self._pairs.get
+        token_of, grows = self._token, self._grows
         for since, last, own in self._lives[state]:
-            grown = grow(since << 8 | byte)
-            if grown is None:
+            since = grow(since << 8 | byte)
+            if since is None:
                 continue
-            since, token, on = grown
-            if on:
+            token = token_of[since]
+            if grows[since]:
                 lives.append((since, last, own))
             if token >= 0 and end is None:
                 fits = last < 0 or pairs(last << 32 | token)
@@ -262,8 +275,8 @@ def _runner(spark: SparkSession, ranks: dict[bytes, int], pattern: str, columns:
         find = regex.compile(pattern).findall
         gc.disable()  # what a worker remembers has no cycles; going through it again and again takes half the time
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in columns}
-            for text in texts(batch.column("text")):
+            start, held, out = 0, 0, {c: [] for c in columns}
+            for k, text in enumerate(texts(batch.column("text")), 1):
                 ids = coder.encode(find(text))
                 numbers, decoded = np.array(ids, "<u4"), "".join(machine.decode(ids, coder.tokens))
                 made = {"ids": lambda: numbers.astype(np.int32), "decoded": lambda: decoded, "n_tokens": lambda: len(ids)}
@@ -271,8 +284,11 @@ def _runner(spark: SparkSession, ranks: dict[bytes, int], pattern: str, columns:
                 made |= {"decoded_sha256": lambda: hashlib.sha256(decoded.encode("utf-8")).hexdigest()}
                 for c in columns:
                     out[c].append(made[c]())
-            arrays = [pa.array(out[c], kinds.get(c, pa.string())) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *columns])
+                held += len(ids)
+                if held >= HELD_TOKENS or k == batch.num_rows:
+                    arrays = [pa.array(out[c], kinds.get(c, pa.string())) for c in columns]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, k - start), *arrays], ["doc_id", *columns])
+                    start, held, out = k, 0, {c: [] for c in columns}
         gc.enable()
 
     return run
