@@ -1,6 +1,8 @@
 """Cut lineage is stored compressed; both ways of collapsing snapshots give the same rows."""
 
+import inspect
 import random
+import re
 import time
 from pathlib import Path
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from test_dedupe_resolve import frame, listing
 
 from deedlink.operators.dedupe import FILLABLE_FIELDS, collapse_snapshots, listing_rank
+from deedlink.operators.enrich import OVERLAID_FIELDS, listing_fields, overlay
 from deedlink.functions.keys import parcel_number
 from deedlink.operators.ordering import with_position
 from deedlink.session import cut_lineage, passing_cuts, shared_folder
@@ -92,3 +95,8 @@ def test_shuffles_of_a_cut_frame_are_removed(spark):
             break
         time.sleep(0.1)
     assert tracker.shuffleStatuses().size() <= known and all(t.count() == 1000 for t in tables)
+
+
+def test_overlay_reads_only_the_fields_that_travel():
+    used = set(re.findall(r'c\["(\w+)"\]', inspect.getsource(overlay) + inspect.getsource(listing_fields)))
+    assert used == set(OVERLAID_FIELDS)
