@@ -192,6 +192,39 @@ def test_dictionary_counts_all_labelled_texts(spark):
     assert {"alpha", "beta", "gamma_rays"} <= set(words) and "unlabelled" not in words
 
 
+def test_dictionary_of_the_query_counts_texts_without_label(spark, tmp_path, queries, monkeypatch):
+    spark.createDataFrame([(i, "alpha beta" if i % 2 else "gamma_rays") for i in range(40)] + [(None, "null_ids null_ids")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 40, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    met, scan = [], ss.scan
+    monkeypatch.setattr(ss, "scan", lambda documents, dictionary: met.append(dictionary) or scan(documents, dictionary))
+    assert queries["op5_secret_scan"](spark, str(tmp_path)).count() == 41
+    assert {"alpha", "beta", "gamma_rays", "null_ids"} <= set(met[0].decode().split())
+
+
+def test_dictionary_is_filled_with_whole_words(spark):
+    words = [a + b + c for a in "abcdefghijklmn" for b in "opqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz"]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[3000:]))], "doc_id long, text string")
+    got = ss.dictionary_of(df)
+    own = got.decode().removesuffix(" " + ss.IDENTIFIERS).split()
+    assert ss.DICTIONARY_BYTES - 4 < len(got) <= ss.DICTIONARY_BYTES and len(own) > 3000
+    assert set(words[3000:]) <= set(own) <= set(words) and len(set(own)) == len(own)
+
+
+def test_full_dictionary_stays_in_sight(spark, documents, texts):
+    """Random strings in texts are found however long the words of the dictionary are."""
+    long = documents.select("doc_id", F.array_join(F.filter(F.split("text", r"[^\p{L}_]+"), lambda w: F.length(w) >= 8), " ").alias("text"))
+    dictionary = ss.identifier_dictionary(long, long)
+    by_length, compressor = ss.limits(dictionary), ss._primed(dictionary)
+    r, around = random.Random(17), [t for _, t in sorted(texts.items()) if len(t) > 900]
+
+    def reported(candidate):
+        text = r.choice(around)
+        at = r.randrange(300, len(text) - 300)
+        return ss.novelty((text[:at] + " api key ")[-256:], candidate, " " + text[at : at + 255], compressor) >= ss.least_novelty(candidate, by_length)
+
+    assert sum(reported("".join(r.choice(string.ascii_letters + string.digits) for _ in range(12))) for _ in range(300)) >= 270
+
+
 def test_secrets_of_odd_rows(odd, empty):
     dictionary = ss.identifier_dictionary(odd, odd)
     assert ss.scan(odd, dictionary).count() == len(ODD)
