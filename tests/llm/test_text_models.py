@@ -432,6 +432,15 @@ def test_licences_equal_plain_scores(spark, small, documents, texts):
     assert sum(f in got[i][0].split(",") for i, f in long) >= 0.9 * len(long)
 
 
+def test_every_line_with_a_weighted_run_is_judged(spark, documents):
+    """Also where the run has none of the words that most notices share."""
+    model = lp.fit(documents)
+    runs = sorted({g for g, _, _ in model.weights if " " in g})
+    rows = [(i, f"{prose(i, 9)}\nzzz {g}, qqq\n{prose(i, 7)}") for i, g in enumerate(runs)]
+    got = {x.doc_id: x.n_confirmed + x.n_unconfirmed + x.n_unknown for x in lp.licences(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert len(runs) > 300 and [g for i, g in enumerate(runs) if not got[i]] == []
+
+
 def corpus_with_rare_lines(spark):
     """6,000 lines, and twelve lines of the greatest hashes that hold one word of a notice."""
     filler = [f"{prose(i, 12)} {i}" for i in range(6000)]
